@@ -54,6 +54,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=["doc_id", "held_out"])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import span_digest
+
+    return span_digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import mark_contamination
 
@@ -79,7 +85,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_token_counts, op2_license_scan, op3_minhash_near_dedup, op4_language_id, op5_toxicity, op7_decontamination, op8_packing, op9_media_columns, op10_substring_dedup,
+    op1_token_counts, op2_license_scan, op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_pii, op7_decontamination, op8_packing, op9_media_columns, op10_substring_dedup,
 )
 
 
