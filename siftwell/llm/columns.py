@@ -47,17 +47,17 @@ def sliced(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
-def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel: Callable[[], Callable], keep: Sequence[str] | None = None, where: Callable | None = None) -> DataFrame:
+def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel: Callable[[], Callable], keep: Sequence[str] | None = None, where: Callable | None = None, only_filter: bool = False) -> DataFrame:
     """`keep` (default: all columns) plus `added`, computed from `text_col`.
 
     `kernel()` runs once in each task and returns a function from a pyarrow string
     array to one array (or list) for each added field.  `where`, given the same
-    arrays, may return a mask of the rows to keep.  A kept column with the name of an
-    added one gives way to it.
+    arrays, may return a mask of the rows to keep; with only_filter that is all, and no
+    column is added.  A kept column with the name of an added one gives way to it.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
+    names = [c for c in (docs.columns if keep is None else keep) if only_filter or c not in added.names]
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(_TEXT))
-    out = T.StructType([*source.schema.fields[:-1], *added.fields])
+    out = T.StructType([*source.schema.fields[:-1], *([] if only_filter else added.fields)])
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches):
@@ -65,7 +65,7 @@ def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel:
         for batch in batches:
             for part in sliced(batch, len(names)):
                 made = [pa.array(x, kind) for x, kind in zip(compute(part.column(len(names))), kinds, strict=True)]
-                rows = pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=out.names)
+                rows = pa.RecordBatch.from_arrays([*part.columns[:-1], *([] if only_filter else made)], names=out.names)
                 yield rows if where is None else rows.filter(pa.array(where(made)))
 
     return source.mapInArrow(run, out)

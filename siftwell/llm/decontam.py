@@ -142,7 +142,7 @@ def read_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, with_spans: bool = False, clean_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`keep` (default: all columns) with n_words, n_hit, n_items, items_sha256 and
     contaminated; with_spans adds hit_words, the positions of the words hit;
-    clean_only leaves the contaminated rows out."""
+    clean_only leaves the contaminated rows out and adds no columns."""
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(b) for b in read_blocks(benchmark, item_col, item_text_col, block_bytes)]
 
@@ -180,4 +180,4 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(), "contaminated": T.BooleanType()} | ({"hit_words": T.ArrayType(T.LongType())} if with_spans else {})
     where = (lambda made: ~np.asarray(made[4])) if clean_only else None
-    return append_columns(docs, text_col, T.StructType([T.StructField(k, v) for k, v in kinds.items()]), kernel, keep, where)
+    return append_columns(docs, text_col, T.StructType([T.StructField(k, v) for k, v in kinds.items()]), kernel, keep, where, clean_only)

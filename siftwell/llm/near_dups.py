@@ -160,12 +160,14 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])).distinct()
 
 
-def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, with_text_key: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the
-    documents that links reach), kept (doc_id = component_id)."""
+    documents that links reach), kept (doc_id = component_id); with_text_key adds
+    text_key, xxhash64 of the text."""
     stages = Stages(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    prints = stages.write(append_columns(docs, "text", _FINGERPRINT, _fingerprint_kernel, ["doc_id"]))
+    key = ["text_key"] * with_text_key
+    prints = stages.write(append_columns(docs.withColumn("text_key", F.xxhash64("text")), "text", _FINGERPRINT, _fingerprint_kernel, ["doc_id", *key]))
     linked = prints.where("doc_id is not null and n_shingles > 0")
     # equal sets have equal keys, so any row's will do
     classes = stages.write(linked.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
@@ -197,6 +199,20 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = names.join(roots, names["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = groups.join(least, "root").select("class", "component_id")
-    alone = prints.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.join(of_class, "class").select("doc_id", "n_shingles", "component_id").union(alone)
+    alone = prints.where("doc_id is null or n_shingles = 0").select("doc_id", *key, "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.join(of_class, "class").select("doc_id", *key, "n_shingles", "component_id").union(alone)
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """docs with one document of each group, that of the smallest id; of rows that repeat
+    an id and a text one stays.  Rows with a null id stay.  Columns are those of docs."""
+    groups = group_near_duplicates(docs, id_col, text_col, percent, True)
+    kept = groups.where("kept and doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"), F.col("rows").alias("__rows"))
+    same = (F.col(f"`{id_col}`") == F.col("__kept_id")) & F.xxhash64(F.col(f"`{text_col}`").cast("string")).eqNullSafe(F.col("__kept_key"))
+    out = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, same)
+    one = F.row_number().over(Window.partitionBy("__kept_id", "__kept_key").orderBy("__rows"))
+    once, again = out.where("__rows = 1"), out.where("__rows > 1").withColumn("__at", one).where("__at = 1")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(names).union(again.select(names)).union(docs.where(F.col(f"`{id_col}`").isNull()).select(names))

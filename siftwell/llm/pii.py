@@ -178,8 +178,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sure = confident_patterns(edges, stages)
     new = rows.where("kind is null").drop("kind").join(sure, "pattern").groupBy("doc_id", "text_key", "start", "end").agg(F.min("kind").alias("kind"))
     new = new.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.concat(F.lit("ctx_"), F.col("kind")).alias("kind")))).alias("extra"))
-    n = new.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "extra")
-    joined = found.drop("instances").join(n, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    n = new.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), "extra")
+    joined = found.drop("instances").join(n, F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("text_key") == F.col("__pii_key")), "left")
     return joined.select("doc_id", "text_key", "base", F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("extra"))
 
 
@@ -201,10 +201,12 @@ def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span in `text_col` replaced by [KIND]; spans that overlap become one,
     of the kind that starts first.  All columns and rows stay; null texts stay null."""
+    if "__pii_spans" in docs.columns:
+        raise ValueError("a column is named __pii_spans")
     found = find_personal_data(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key"])
-    every = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.array_sort(F.concat(*map(_tagged, KINDS), F.col("extra"))).alias("_spans")).where("size(_spans) > 0")
+    every = found.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), F.array_sort(F.concat(*map(_tagged, KINDS), F.col("extra"))).alias("__pii_spans")).where("size(__pii_spans) > 0")
     text = F.col(f"`{text_col}`")
-    marked = docs.join(every, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_key")), "left")
+    marked = docs.join(every, F.col(f"`{id_col}`").eqNullSafe(F.col("__pii_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("__pii_key")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -212,5 +214,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         grown = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), label)
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), grown.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return marked.select(*[F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("__pii_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return marked.select(*[F.when(F.col("__pii_spans").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -105,7 +105,7 @@ def fit(rows: DataFrame, per_label: int = 2500, most_bytes: int = 50_000) -> Tox
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, clean_only: bool = False) -> DataFrame:
     """`keep` (default: all columns) with score and predicted (1 if score >= threshold);
-    clean_only leaves rows of predicted 1 out."""
+    clean_only leaves rows of predicted 1 out and adds no columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most WIDTH weights
 
     def kernel():
@@ -120,7 +120,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         return run
 
     added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return append_columns(docs, text_col, added, kernel, keep, (lambda made: np.asarray(made[1]) == 0) if clean_only else None)
+    clean = (lambda made: np.asarray(made[1]) == 0) if clean_only else None
+    return append_columns(docs, text_col, added, kernel, keep, clean, clean_only)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
