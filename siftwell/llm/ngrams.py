@@ -23,7 +23,7 @@ CHUNK, ROW = 1 << 18, 1 << 12
 
 
 def slots(body: np.ndarray, ends: np.ndarray, orders: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n of `orders`: the slot of each n-gram inside a text, and where it starts."""
+    """For each n of `orders` (8 at most): the slot of each n-gram inside a text, and where it starts."""
     code = low = _LOWER[body].astype(np.uint64)
     for n in range(1, orders.stop):
         if n > 1:
@@ -31,7 +31,7 @@ def slots(body: np.ndarray, ends: np.ndarray, orders: range) -> Iterator[tuple[n
         if n not in orders or not len(code):
             continue
         with np.errstate(over="ignore"):
-            slot = (((code | np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
+            slot = (((code ^ np.uint64((n * 0xA0761D6478BD642F) % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
         inside = np.ones(len(body) + 1, bool)
         for back in range(1, n):
             inside[np.maximum(ends - back, 0)] = False  # an n-gram from here passes an end

@@ -1,4 +1,4 @@
-"""Toxicity by a linear classifier over character n-grams (3 to 6) scaled by naive Bayes
+"""Toxicity by a linear classifier over character n-grams (3 to 8) scaled by naive Bayes
 log-count ratios.
 
 A feature is an n-gram's presence times log((p / |p|) / (q / |q|)), p and q being its
@@ -7,7 +7,8 @@ fitted on these; class weights restore the share that each class has in all labe
 rows, so a score is a probability.
 
 The model is fitted on a bounded sample: `per_label` rows of either label, none over
-`most_bytes`; the features are the `WIDTH` n-grams whose counts speak most clearly.
+`most_bytes`; near copies in it count once; the features are
+the `WIDTH` n-grams whose counts speak most clearly.
 
 Defined results: null and empty texts have no n-grams and get the score of the intercept;
 without training rows of both labels every score is the share of toxic ones (0 without
@@ -25,13 +26,31 @@ from .columns import append_columns, flat
 from .ngrams import CHUNK, ROW, SLOTS, distinct_slots, present, training_rows
 from .wordhash import chunks
 
-ORDERS = range(3, 7)
+ORDERS = range(3, 9)
 WIDTH = 4096
-RIDGE = 3e-3
+RIDGE = 1e-3
+#: Features must be at least this share as clear as the clearest.
+CLEAR = 0.2
 THRESHOLD = 0.3
 STEPS = 400
 
 
+def first_of_copies(sets: list[np.ndarray], y: np.ndarray) -> list[int]:
+    """The first row of each group of near copies of one label, by minhashes of their
+    n-grams: what a text says counts once, however often it was copied."""
+    multiply = np.random.default_rng(9).integers(1, 2**62, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen: set = set()
+    out = []
+    for i, s in enumerate(sets):
+        with np.errstate(over="ignore"):
+            low = [int(((s.astype(np.uint64) + np.uint64(1)) * m).min()) if len(s) else 0 for m in multiply]
+        keys = {(int(y[i]), k, low[k], low[k + 1], low[k + 2]) for k in range(0, 12, 3)}
+        if not keys & seen:
+            out.append(i)
+        seen |= keys
+    return out
+
+
 class ToxicityModel:
     """rows: (text, label); shares: how many rows of labels 0 and 1 the sample stands for."""
 
@@ -44,6 +63,8 @@ class ToxicityModel:
             return
         counts = np.zeros((2, SLOTS), np.int32)
         sets = [distinct_slots(text, ORDERS) for text, _ in rows]
+        alone = first_of_copies(sets, y)
+        sets, y, rows = [sets[i] for i in alone], y[alone], [rows[i] for i in alone]
         for s, label in zip(sets, y, strict=True):
             counts[label][s] += 1
         n = np.bincount(y, minlength=2)
@@ -53,7 +74,7 @@ class ToxicityModel:
         spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n[0] + 1 / n[1]))
         clear = np.where((counts[0] + counts[1] >= 4) & (pooled < 1), np.abs(counts[1] / n[1] - counts[0] / n[0]) / spread, 0)
         known = np.argsort(-clear, kind="stable")[:width]
-        self.known = np.sort(known[clear[known] > 0]).astype(np.int32)
+        self.known = np.sort(known[clear[known] > max(0, CLEAR * clear[known[0]])]).astype(np.int32)
         columns, scale = self.columns(), ratio[self.known]
         cols = [columns[s] for s in sets]
         cols = [c[c >= 0] for c in cols]
@@ -96,7 +117,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(rows: DataFrame, per_label: int = 2500, most_bytes: int = 50_000) -> ToxicityModel:
+def fit(rows: DataFrame, per_label: int = 2000, most_bytes: int = 50_000) -> ToxicityModel:
     """rows: (id, text, label) with labels 0 and 1; other labels are left out."""
     rows = rows.where("label in (0, 1)")
     count = dict(rows.groupBy("label").count().collect())
