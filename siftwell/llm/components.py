@@ -25,17 +25,17 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _flat(links: DataFrame) -> bool:
+    """Whether each node points to one root, and no root points on."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("o").alias("o"), F.max("i").alias("i")).where("o + i > 1").isEmpty()
+
+
 def components(links: DataFrame, stages: Stages) -> DataFrame:
     """(node, root): root is the least node that can be reached. links: (a, b), any order;
     nodes without links are left out."""
     links = stages.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
-    while True:
-        new = stages.write(_star(_star(links, True), False))
-        now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        stages.drop(links)
-        links = new
-        if tuple(now) == sign:
-            break
-        sign = tuple(now)
+    while not _flat(links):
+        old, links = links, stages.write(_star(_star(links, True), False))
+        stages.drop(old)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -103,32 +103,32 @@ _FINGERPRINT = T.StructType([T.StructField("class", T.BinaryType()), T.StructFie
 
 
 def buckets_of(classes: DataFrame) -> DataFrame:
-    """(bucket, class): the table keys of each class, without those that can't be shared."""
-    halves = classes.select("class", F.posexplode("keys").alias("k", "half"))
+    """(bucket, n, c): the classes of each table bucket that holds n > 1 of them; keys that
+    can't be shared are never made.  c is the class with its document and set size."""
+    halves = classes.select(F.struct("class", "doc_id", "size").alias("c"), F.posexplode("keys").alias("k", "half"))
     shared = halves.groupBy("k", "half").agg(F.count("*").alias("n")).where("n > 1").select("k", "half")
-    kept = halves.join(shared, ["k", "half"]).groupBy("class").agg(F.collect_list(F.struct("k", "half")).alias("halves"))
+    kept = halves.join(shared, ["k", "half"]).groupBy("c").agg(F.collect_list(F.struct("k", "half")).alias("halves"))
     first = F.filter("halves", lambda x: x["k"] < HALF_KEYS)
     second = F.filter("halves", lambda x: x["k"] >= HALF_KEYS)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["k"], x["half"], y["k"], y["half"]))))
-    rows = kept.select("class", F.explode(tables).alias("bucket"))
-    many = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return rows.join(many, "bucket").select("bucket", "class")
+    rows = kept.select("c", F.explode(tables).alias("bucket"))
+    many = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("hub")).where("n > 1")
+    return rows.join(many, "bucket").select("bucket", "n", "c", "hub")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of `pairs` whose full sets have a Jaccard similarity of percent / 100 or
-    more. classes: (class, doc_id, n); docs: (doc_id, text).
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among `pairs` (a, b, n): those whose full sets have a Jaccard
+    similarity of percent / 100 or more. docs: (doc_id, text).
 
     Each pair carries the text of its b; the text of a goes once to each PER_HUB_COPY of
-    its pairs, so a hub with very many members is spread over tasks.
+    the n members of its bucket, so a hub with very many members is spread over tasks.
     """
-    sizes = classes.select("class", "n")
-    fit = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    fit = fit.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    copies = fit.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / PER_HUB_COPY).cast("int").alias("copies"))
-    sent = fit.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies").cast("long")).cast("int").alias("copy"))
-    wanted = sent.select("a", "copy", F.col("b").alias("class"), F.lit(False).alias("hub")).union(copies.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("a").alias("class"), F.lit(True).alias("hub")))
-    placed = wanted.join(classes.select("class", "doc_id"), "class").join(docs, "doc_id").select("a", "copy", "hub", "class", "text")
+    fit = pairs.where(F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent).groupBy("a", "b").agg(F.max("n").alias("n"))
+    copy = F.pmod(F.xxhash64("b.class"), F.ceil(F.col("n") / PER_HUB_COPY)).cast("int")
+    sent = fit.select("a", "b", copy.alias("copy"))
+    members = sent.select(F.col("a.class").alias("a"), "copy", F.lit(False).alias("hub"), F.col("b.class").alias("class"), F.col("b.doc_id").alias("doc_id"))
+    hubs = sent.groupBy("a", "copy").agg(F.lit(True).alias("hub")).select(F.col("a.class").alias("a"), "copy", "hub", F.col("a.class").alias("class"), F.col("a.doc_id").alias("doc_id"))
+    placed = members.union(hubs).join(docs, "doc_id").select("a", "copy", "hub", "class", "text")
     dealt = placed.repartition("a", "copy").sortWithinPartitions("a", "copy", F.desc("hub"))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -170,33 +170,33 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = stages.write(append_columns(docs.withColumn("text_key", F.xxhash64("text")), "text", _FINGERPRINT, _fingerprint_kernel, ["doc_id", *key]))
     linked = prints.where("doc_id is not null and n_shingles > 0")
     # equal sets have equal keys, so any row's will do
-    classes = stages.write(linked.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    buckets = stages.write(buckets_of(classes.select("class", "keys")))
-    names = classes.select("class", "doc_id", "n")
+    classes = stages.write(linked.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")))
+    buckets = stages.write(buckets_of(classes))
 
-    hub = buckets.groupBy("bucket").agg(F.min("class").alias("a"))
-    tried = stages.write(buckets.join(hub, "bucket").where("class <> a").select("a", F.col("class").alias("b")).distinct())
-    links = stages.write(confirm(tried, names, docs, percent))
+    inner = buckets.where("c <> hub")
+    links = stages.write(confirm(inner.select(F.col("hub").alias("a"), F.col("c").alias("b"), "n"), docs, percent))
     roots = components(links, stages)
-    left, hubs = buckets.join(hub, "bucket").where("class <> a").select("bucket", "class"), 8
+    left, hubs = inner.select("bucket", "c"), 8
     while True:
-        at = left.join(roots, left["class"] == roots["node"], "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+        at = left.join(roots, left["c.class"] == roots["node"], "left").select("bucket", "c", F.coalesce("root", "c.class").alias("root"))
         open_ = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "n")
         rest = stages.write(at.join(open_, "bucket"))
         if rest.isEmpty():
             break
-        x, y = rest.where(f"n <= {SMALL_BUCKET}").alias("x"), rest.alias("y")
-        pairs = x.join(y, F.expr("x.bucket = y.bucket and x.class < y.class and x.root <> y.root")).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("class"), "class")  # all buckets choose alike
-        chosen = stages.write(rest.where(f"n > {SMALL_BUCKET}").withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs).select("bucket", "class", "root"))
-        far = chosen.alias("x").join(y, F.expr("x.bucket = y.bucket and x.class <> y.class and x.root <> y.root")).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-        new = stages.write(pairs.union(far).distinct().join(tried, ["a", "b"], "left_anti"))
-        links = stages.write(links.union(confirm(new, names, docs, percent)))
-        roots = components(links, stages)
-        tried = stages.write(tried.union(new))
-        left = rest.where(f"n > {SMALL_BUCKET}").join(chosen.select("bucket", "class"), ["bucket", "class"], "left_anti").select("bucket", "class")
+        small, large = rest.where(f"n <= {SMALL_BUCKET}"), rest.where(f"n > {SMALL_BUCKET}")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("c.class"), "c")  # all buckets choose alike
+        chosen = stages.write(large.withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs).select("bucket", "c", "root"))
+        near = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket and x.c < y.c and x.root <> y.root"))
+        far = chosen.alias("x").join(large.alias("y"), F.expr("x.bucket = y.bucket and x.c <> y.c and x.root <> y.root"))
+        pair = [F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("y.n").alias("n")]
+        pairs = near.select(pair).union(far.select(pair))
+        found = stages.write(confirm(pairs, docs, percent))
+        if not found.isEmpty():
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+            roots = components(links, stages)
+        left = large.join(chosen, ["bucket", "c"], "left_anti").select("bucket", "c")
         hubs *= 8
-    groups = names.join(roots, names["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    groups = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = groups.join(least, "root").select("class", "component_id")
     alone = prints.where("doc_id is null or n_shingles = 0").select("doc_id", *key, "n_shingles", F.col("doc_id").alias("component_id"))
