@@ -10,9 +10,11 @@ Documents of equal sets form a class, and only classes are compared.  Half-keys
 class alone has are dropped first, as no table key made of them can be shared.  In each
 table bucket, members are checked against one hub, which all buckets choose alike;
 links are confirmed on the full sets.  Buckets whose members are then all in one
-component are done.  Of the others, small ones check the pairs between components, and
-large ones check their members against ever more hubs (8, 64, ...), until every pair
-across components of each bucket was checked.  Nothing is capped.
+component are done.  Of the others, small ones check the pairs between components.  In
+large ones, shingles that one member alone has are counted: with u of them, a set of n
+shares at most n - u with any other, which bounds its similarity to a set of each size.
+Members that no size can save are peeled off, and only pairs across components that
+these bounds allow are checked.  The bounds are exact, and nothing is capped.
 
 Defined results: null and empty texts and texts of white space have no shingles and are
 linked with nothing; a text of fewer than five words is one shingle; rows with a null
@@ -40,6 +42,8 @@ SHINGLE = 5
 HALF_KEYS = 8  # of each of the two collections
 PER_KEY = 2  # minhashes in a half-key
 SMALL_BUCKET = 16
+#: Turns of counting own shingles; more of them only save time.
+PEELINGS = 3
 #: Members checked together with one copy of their hub's text.
 PER_HUB_COPY = 256
 
@@ -160,6 +164,56 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])).distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for part in sliced(batch, 1):
+            names = part.column(0).to_pylist()
+            body, at = flat(part.column(1))
+            for x, y in chunks(at):
+                sets = shingle_sets(body[at[x] : at[y]], at[x + 1 : y + 1] - at[x])
+                own = [(names[i], s) for i, s, name in zip(range(x, y), sets, set_name(sets), strict=True) if name == names[i]]
+                if own:
+                    sizes = [len(s) for _, s in own]
+                    index = pa.array(np.repeat(np.arange(len(own)), sizes))
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.binary()).take(index), pa.array(np.concatenate([s for _, s in own]).view(np.int64))], names=["class", "shingle"])
+
+
+def own_shingles(members: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """(c, u): of each of `members` (c) that may be linked with another one, how many of its
+    shingles no other has.  Members that can't be are peeled off, and the rest is counted
+    anew; a member left in only costs time."""
+    texts = members.select(F.col("c.class").alias("class"), F.col("c.doc_id").alias("doc_id")).join(docs, "doc_id").select("class", "text")
+    rows = stages.write(texts.mapInArrow(_shingle_rows, "class binary, shingle long"))
+    for _ in range(PEELINGS):
+        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count("*").alias("u"))
+        counted = members.join(alone, members["c.class"] == alone["class"], "left").select("c", F.coalesce("u", F.lit(0)).alias("u"))
+        kept = stages.write(counted.where((F.col("c.size") - F.col("u")) * 100 >= F.col("c.size") * percent))
+        before, members = members, kept.select("c")
+        if kept.count() == before.count():
+            break
+        rows = stages.write(rows.join(members.select(F.col("c.class").alias("class")), "class", "left_semi"))
+    return kept
+
+
+def allowed_pairs(large: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """(a, b, n): the pairs of a bucket, across components, that `own_shingles` allows.
+    large: (bucket, c, root, n)."""
+    members = stages.write(large.select("c").distinct())
+    live = stages.write(large.join(own_shingles(members, docs, stages, percent), "c").select("bucket", "n", "c", "root", "u"))
+    of_root = live.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    major = of_root.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("major"))
+    band = lambda size: F.floor(F.log(size) / 0.02)
+    size, u = F.col("c.size"), F.col("u")
+    low, high = F.ceil(size * percent / 100), F.floor((size - u) * 100 / percent - u)
+    # a pair across components has a member outside the bucket's largest one
+    x = live.join(major, "bucket").where("root <> major").select("*", F.explode(F.sequence(band(low) - 1, F.greatest(band(F.greatest(high, F.lit(1))), band(low) - 1))).alias("band")).where(high >= low).alias("x")
+    y = live.withColumn("band", band(size)).alias("y")
+    both = F.least(F.col("x.c.size") - F.col("x.u"), F.col("y.c.size") - F.col("y.u"))
+    fits = (F.expr("x.bucket = y.bucket and x.band = y.band and x.root <> y.root")) & (both * 100 >= (F.col("x.c.size") + F.col("y.c.size") - both) * percent)
+    a, b = F.least("x.c", "y.c"), F.greatest("x.c", "y.c")
+    return x.join(y, fits).select(a.alias("a"), b.alias("b"), F.col("x.n").alias("n"))
+
+
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, with_text_key: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the
     documents that links reach), kept (doc_id = component_id); with_text_key adds
@@ -176,26 +230,16 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     inner = buckets.where("c <> hub")
     links = stages.write(confirm(inner.select(F.col("hub").alias("a"), F.col("c").alias("b"), "n"), docs, percent))
     roots = components(links, stages)
-    left, hubs = inner.select("bucket", "c"), 8
-    while True:
-        at = left.join(roots, left["c.class"] == roots["node"], "left").select("bucket", "c", F.coalesce("root", "c.class").alias("root"))
-        open_ = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "n")
-        rest = stages.write(at.join(open_, "bucket"))
-        if rest.isEmpty():
-            break
-        small, large = rest.where(f"n <= {SMALL_BUCKET}"), rest.where(f"n > {SMALL_BUCKET}")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("c.class"), "c")  # all buckets choose alike
-        chosen = stages.write(large.withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs).select("bucket", "c", "root"))
-        near = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket and x.c < y.c and x.root <> y.root"))
-        far = chosen.alias("x").join(large.alias("y"), F.expr("x.bucket = y.bucket and x.c <> y.c and x.root <> y.root"))
-        pair = [F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("y.n").alias("n")]
-        pairs = near.select(pair).union(far.select(pair))
-        found = stages.write(confirm(pairs, docs, percent))
-        if not found.isEmpty():
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-            roots = components(links, stages)
-        left = large.join(chosen, ["bucket", "c"], "left_anti").select("bucket", "c")
-        hubs *= 8
+    at = inner.join(roots, inner["c.class"] == roots["node"], "left").select("bucket", "c", F.coalesce("root", "c.class").alias("root"))
+    open_ = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "n")
+    rest = stages.write(at.join(open_, "bucket"))
+    small, large = rest.where(f"n <= {SMALL_BUCKET}").alias("x"), rest.where(f"n > {SMALL_BUCKET}")
+    pairs = small.join(small.alias("y"), F.expr("x.bucket = y.bucket and x.c < y.c and x.root <> y.root")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"))
+    if not large.isEmpty():
+        pairs = pairs.union(allowed_pairs(large, docs, stages, percent))
+    found = stages.write(confirm(pairs, docs, percent))
+    if not found.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), stages)
     groups = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = groups.join(least, "root").select("class", "component_id")
