@@ -115,17 +115,19 @@ def repeated_spans(docs: DataFrame, stages: Stages, window: int, k: int) -> Data
     known = docs.where("doc_id is not null and text is not null")
     occurrences = stages.write(known.select("doc_id", "text_key", "text").mapInArrow(_occurrences(window, k), _OCCURRENCES))
     seen = occurrences.groupBy("edge").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("d0 < d1")
-    repeated = occurrences.join(seen.select("edge", "d0", (F.col("c0") != F.col("c1")).alias("branches")), "edge")
+    seen = stages.write(seen.select("edge", "d0", (F.col("c0") != F.col("c1")).alias("branches")))  # so that the join may split a hot edge
+    repeated = occurrences.join(seen, "edge")
     repeated = stages.write(repeated.where("branches or doc_id > d0"))
     stages.drop(occurrences)
     paths = repeated.where("not branches").select("doc_id", "text_key", "first", "n")
 
     branching = repeated.where("branches")
-    earliest = branching.groupBy("edge", "context").agg(F.min("doc_id").alias("e0"))
+    earliest = stages.write(branching.groupBy("edge", "context").agg(F.min("doc_id").alias("e0")))
     compact = stages.write(branching.join(earliest, ["edge", "context"]).select("doc_id", "text_key", "first", "n", (F.col("doc_id") > F.col("e0")).alias("later")))
     to_expand = compact.where("not later").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     windows = stages.write(to_expand.join(known, ["doc_id", "text_key"]).select("doc_id", "text_key", "spans", "text").mapInArrow(_expand(window), _WINDOWS))
     least = windows.groupBy("window_hash").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1").select("window_hash", "w0")
+    least = stages.write(least)
     single = windows.join(least, "window_hash").where("doc_id > w0").select("doc_id", "text_key", "first", F.lit(1).alias("n"))
     every = paths.union(compact.where("later").select("doc_id", "text_key", "first", "n")).union(single)
     return every.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
