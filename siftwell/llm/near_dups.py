@@ -8,13 +8,14 @@ with a chance below 1e-4, and one of 0.9 with one below 4e-6 (m = 8).
 
 Documents of equal sets form a class, and only classes are compared.  Half-keys that one
 class alone has are dropped first, as no table key made of them can be shared.  In each
-table bucket, members are checked against one hub, which all buckets choose alike;
-links are confirmed on the full sets.  Buckets whose members are then all in one
-component are done.  Of the others, small ones check the pairs between components.  In
-large ones, shingles that one member alone has are counted: with u of them, a set of n
-shares at most n - u with any other, which bounds its similarity to a set of each size.
-Members that no size can save are peeled off, and only pairs across components that
-these bounds allow are checked.  The bounds are exact, and nothing is capped.
+table bucket, members are checked against one hub, the one whose half-keys are the most
+common, which all buckets choose alike; links are confirmed on the full sets.  Buckets
+whose members are then all in one component are done.  Of the others, small ones check
+the pairs between components.  Large ones that share members form a cluster.  Members
+with so many shingles of their own that no other set can be similar are peeled off; the
+rest of a cluster is dealt into blocks of bounded size, each pair of blocks counts its
+common shingles in memory, and only links that join components leave it.  The bounds are
+exact, and nothing is capped.
 
 Defined results: null and empty texts and texts of white space have no shingles and are
 linked with nothing; a text of fewer than five words is one shingle; rows with a null
@@ -44,6 +45,8 @@ PER_KEY = 2  # minhashes in a half-key
 SMALL_BUCKET = 16
 #: Turns of counting own shingles; more of them only save time.
 PEELINGS = 3
+#: Shingles of a block (8 bytes each); two blocks are compared in one task.
+BLOCK_SHINGLES = 1 << 20
 #: Members checked together with one copy of their hub's text.
 PER_HUB_COPY = 256
 
@@ -110,13 +113,13 @@ def buckets_of(classes: DataFrame) -> DataFrame:
     """(bucket, n, c): the classes of each table bucket that holds n > 1 of them; keys that
     can't be shared are never made.  c is the class with its document and set size."""
     halves = classes.select(F.struct("class", "doc_id", "size").alias("c"), F.posexplode("keys").alias("k", "half"))
-    shared = halves.groupBy("k", "half").agg(F.count("*").alias("n")).where("n > 1").select("k", "half")
-    kept = halves.join(shared, ["k", "half"]).groupBy("c").agg(F.collect_list(F.struct("k", "half")).alias("halves"))
+    shared = halves.groupBy("k", "half").agg(F.count("*").alias("n")).where("n > 1")
+    kept = halves.join(shared, ["k", "half"]).groupBy("c").agg(F.collect_list(F.struct("k", "half")).alias("halves"), F.sum("n").alias("common"))
     first = F.filter("halves", lambda x: x["k"] < HALF_KEYS)
     second = F.filter("halves", lambda x: x["k"] >= HALF_KEYS)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["k"], x["half"], y["k"], y["half"]))))
-    rows = kept.select("c", F.explode(tables).alias("bucket"))
-    many = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("hub")).where("n > 1")
+    rows = kept.select("c", "common", F.explode(tables).alias("bucket"))
+    many = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("common", "c"))["c"].alias("hub")).where("n > 1")
     return rows.join(many, "bucket").select("bucket", "n", "c", "hub")
 
 
@@ -164,54 +167,137 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])).distinct()
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]):
+def _set_rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for part in sliced(batch, 1):
             names = part.column(0).to_pylist()
             body, at = flat(part.column(1))
             for x, y in chunks(at):
                 sets = shingle_sets(body[at[x] : at[y]], at[x + 1 : y + 1] - at[x])
-                own = [(names[i], s) for i, s, name in zip(range(x, y), sets, set_name(sets), strict=True) if name == names[i]]
+                own = [(names[i], s.view(np.int64)) for i, s, name in zip(range(x, y), sets, set_name(sets), strict=True) if name == names[i]]
                 if own:
-                    sizes = [len(s) for _, s in own]
-                    index = pa.array(np.repeat(np.arange(len(own)), sizes))
-                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.binary()).take(index), pa.array(np.concatenate([s for _, s in own]).view(np.int64))], names=["class", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.binary()), pa.array([s for _, s in own], pa.list_(pa.int64()))], names=["class", "shingles"])
 
 
-def own_shingles(members: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
-    """(c, u): of each of `members` (c) that may be linked with another one, how many of its
-    shingles no other has.  Members that can't be are peeled off, and the rest is counted
-    anew; a member left in only costs time."""
-    texts = members.select(F.col("c.class").alias("class"), F.col("c.doc_id").alias("doc_id")).join(docs, "doc_id").select("class", "text")
-    rows = stages.write(texts.mapInArrow(_shingle_rows, "class binary, shingle long"))
+def unpeeled(members: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """(class, shingles) of the members (class, doc_id) that may be linked with another.
+
+    Of a set of n with u shingles that no other member has, at most n - u can be common, so
+    it is peeled off if these are less than percent of n; then the rest is counted anew.  A
+    member left in only costs time.
+    """
+    rows = stages.write(members.join(docs, "doc_id").select("class", "text").mapInArrow(_set_rows, "class binary, shingles array<long>"))
     for _ in range(PEELINGS):
-        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count("*").alias("u"))
-        counted = members.join(alone, members["c.class"] == alone["class"], "left").select("c", F.coalesce("u", F.lit(0)).alias("u"))
-        kept = stages.write(counted.where((F.col("c.size") - F.col("u")) * 100 >= F.col("c.size") * percent))
-        before, members = members, kept.select("c")
-        if kept.count() == before.count():
+        alone = rows.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+        far = alone.groupBy("class").agg(F.count("*").alias("u")).join(rows.select("class", F.size("shingles").alias("n")), "class").where((F.col("n") - F.col("u")) * 100 < F.col("n") * percent)
+        far = stages.write(far.select("class"))
+        if far.isEmpty():
             break
-        rows = stages.write(rows.join(members.select(F.col("c.class").alias("class")), "class", "left_semi"))
-    return kept
-
-
-def allowed_pairs(large: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
-    """(a, b, n): the pairs of a bucket, across components, that `own_shingles` allows.
-    large: (bucket, c, root, n)."""
-    members = stages.write(large.select("c").distinct())
-    live = stages.write(large.join(own_shingles(members, docs, stages, percent), "c").select("bucket", "n", "c", "root", "u"))
-    of_root = live.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    major = of_root.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("major"))
-    band = lambda size: F.floor(F.log(size) / 0.02)
-    size, u = F.col("c.size"), F.col("u")
-    low, high = F.ceil(size * percent / 100), F.floor((size - u) * 100 / percent - u)
-    # a pair across components has a member outside the bucket's largest one
-    x = live.join(major, "bucket").where("root <> major").select("*", F.explode(F.sequence(band(low) - 1, F.greatest(band(F.greatest(high, F.lit(1))), band(low) - 1))).alias("band")).where(high >= low).alias("x")
-    y = live.withColumn("band", band(size)).alias("y")
-    both = F.least(F.col("x.c.size") - F.col("x.u"), F.col("y.c.size") - F.col("y.u"))
-    fits = (F.expr("x.bucket = y.bucket and x.band = y.band and x.root <> y.root")) & (both * 100 >= (F.col("x.c.size") + F.col("y.c.size") - both) * percent)
-    a, b = F.least("x.c", "y.c"), F.greatest("x.c", "y.c")
-    return x.join(y, fits).select(a.alias("a"), b.alias("b"), F.col("x.n").alias("n"))
+        before, rows = rows, stages.write(rows.join(far, "class", "left_anti"))
+        stages.drop(before)
+    return rows
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For runs of rows of x: (first row, how many shingles each shares with each row of y).
+    Frequent shingles are counted by a matrix product, others by their lists."""
+    ny = len(y)
+    rows_y = np.repeat(np.arange(ny), [len(s) for s in y])
+    words, col_y = np.unique(np.concatenate(y), return_inverse=True)
+    df = np.bincount(col_y, minlength=len(words))
+    often = np.flatnonzero(df > max(8, ny // 32))
+    dense_at = np.full(len(words), -1)
+    dense_at[often] = np.arange(len(often))
+    dense = np.zeros((ny, len(often)), np.float32)
+    hit = dense_at[col_y] >= 0
+    dense[rows_y[hit], dense_at[col_y[hit]]] = 1
+    order = np.argsort(col_y, kind="stable")
+    lists, first = rows_y[order], np.cumsum(df) - df
+    step = max(1, min(512, (1 << 22) // ny))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        rows = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        every = np.concatenate(part)
+        at = np.minimum(np.searchsorted(words, every), len(words) - 1)
+        known = words[at] == every
+        rows, at = rows[known], at[known]
+        d = dense_at[at]
+        left = np.zeros((len(part), len(often)), np.float32)
+        left[rows[d >= 0], d[d >= 0]] = 1
+        counts = (left @ dense.T).astype(np.int64)
+        rows, at = rows[d < 0], at[d < 0]
+        n = df[at]
+        pick = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        counts += np.bincount(np.repeat(rows, n) * ny + lists[pick], minlength=len(part) * ny).reshape(len(part), ny)
+        yield a, counts
+
+
+def block_links(names: list[bytes], roots: list[bytes], sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join components among the members of one block, or of side 0 and side 1:
+    no more of them than members."""
+    ids = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    root, size = np.array([ids[r] for r in roots]), np.array([len(s) for s in sets])
+    if sides.any():
+        xs, ys = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    else:  # a pair across components has a member outside the largest one
+        xs, ys = np.flatnonzero(root != np.bincount(root).argmax()), np.arange(len(names))
+    if not len(xs) or not len(ys):
+        return []
+    above = list(range(len(ids)))
+
+    def find(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    out = []
+    for a, counts in _common([sets[i] for i in xs], [sets[i] for i in ys]):
+        rows = xs[a : a + len(counts)]
+        linked = (counts * 100 >= percent * (size[rows][:, None] + size[ys] - counts)) & (root[rows][:, None] != root[ys])
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            p, q = find(int(root[rows[i]])), find(int(root[ys[j]]))
+            if p != q:
+                above[p] = q
+                out.append((names[rows[i]], names[ys[j]]))
+    return out
+
+
+def cluster_links(large: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """Links (a, b) across components of the clusters. large: (bucket, c, root)."""
+    low = large.groupBy("bucket").agg(F.min("c.class").alias("low"))
+    clusters = components(large.join(low, "bucket").select(F.col("c.class").alias("a"), F.col("low").alias("b")), stages)
+    members = stages.write(large.select(F.col("c.class").alias("class"), F.col("c.doc_id").alias("doc_id"), F.col("root").alias("of")).distinct())
+    sets = unpeeled(members.select("class", "doc_id"), docs, stages, percent)
+    cluster = F.coalesce("root", "class").alias("cluster")
+    known = stages.write(sets.join(members.select("class", "of"), "class").join(clusters, F.col("class") == F.col("node"), "left").select("class", "of", cluster, "shingles"))
+    blocks = known.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("blocks"), F.countDistinct("of").alias("roots")).where("roots > 1")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int")
+    placed = known.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    dealt = placed.select("cluster", i, j, (F.col("own") > F.col("other")).alias("second"), "class", "of", "shingles").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        key, names, roots, sides, sets = None, [], [], [], []
+
+        def links():
+            found = block_links(names, roots, np.array(sides, np.int64), sets, percent) if names else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            lists = batch.column(6)
+            values, at = np.asarray(lists.values), np.asarray(lists.offsets)
+            for k, now in enumerate(zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True)):
+                if now[:3] != key:
+                    yield from links()
+                    key, names, roots, sides, sets = now[:3], [], [], [], []
+                names.append(now[4])
+                roots.append(now[5])
+                sides.append(int(now[3]))
+                sets.append(values[at[k] : at[k + 1]].copy())
+        yield from links()
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, with_text_key: bool = False) -> DataFrame:
@@ -234,10 +320,11 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     open_ = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "n")
     rest = stages.write(at.join(open_, "bucket"))
     small, large = rest.where(f"n <= {SMALL_BUCKET}").alias("x"), rest.where(f"n > {SMALL_BUCKET}")
-    pairs = small.join(small.alias("y"), F.expr("x.bucket = y.bucket and x.c < y.c and x.root <> y.root")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"))
+    near = small.join(small.alias("y"), F.expr("x.bucket = y.bucket and x.c < y.c and x.root <> y.root")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"))
+    found = confirm(near, docs, percent)
     if not large.isEmpty():
-        pairs = pairs.union(allowed_pairs(large, docs, stages, percent))
-    found = stages.write(confirm(pairs, docs, percent))
+        found = found.union(cluster_links(large.select("bucket", "c", "root"), docs, stages, percent))
+    found = stages.write(found)
     if not found.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), stages)
     groups = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
