@@ -35,20 +35,14 @@ THRESHOLD = 0.3
 STEPS = 400
 
 
-def first_of_copies(sets: list[np.ndarray], y: np.ndarray) -> list[int]:
-    """The first row of each group of near copies of one label, by minhashes of their
-    n-grams: what a text says counts once, however often it was copied."""
-    multiply = np.random.default_rng(9).integers(1, 2**62, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seen: set = set()
-    out = []
-    for i, s in enumerate(sets):
-        with np.errstate(over="ignore"):
-            low = [int(((s.astype(np.uint64) + np.uint64(1)) * m).min()) if len(s) else 0 for m in multiply]
-        keys = {(int(y[i]), k, low[k], low[k + 1], low[k + 2]) for k in range(0, 12, 3)}
-        if not keys & seen:
-            out.append(i)
-        seen |= keys
-    return out
+_MINHASH = np.random.default_rng(9).integers(1, 2**62, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def copy_keys(slots: np.ndarray, label: int) -> set[tuple]:
+    """Keys that near copies of one label share: minhashes of a text's n-grams in threes."""
+    with np.errstate(over="ignore"):
+        low = [int(((slots.astype(np.uint64) + np.uint64(1)) * m).min()) if len(slots) else 0 for m in _MINHASH]
+    return {(label, k, *low[k : k + 3]) for k in range(0, len(low), 3)}
 
 
 class ToxicityModel:
@@ -62,11 +56,16 @@ class ToxicityModel:
         if len(set(y.tolist())) < 2:
             return
         counts = np.zeros((2, SLOTS), np.int32)
-        sets = [distinct_slots(text, ORDERS) for text, _ in rows]
-        alone = first_of_copies(sets, y)
-        sets, y, rows = [sets[i] for i in alone], y[alone], [rows[i] for i in alone]
-        for s, label in zip(sets, y, strict=True):
-            counts[label][s] += 1
+        seen: set[tuple] = set()
+        alone = []
+        for i, (text, label) in enumerate(rows):  # what a text says counts once, however often it was copied
+            slots = distinct_slots(text, ORDERS)
+            keys = copy_keys(slots, label)
+            if not keys & seen:
+                alone.append(i)
+                counts[label][slots] += 1
+            seen |= keys
+        y, rows = y[alone], [rows[i] for i in alone]
         n = np.bincount(y, minlength=2)
         p, q = counts[1] + 1.0, counts[0] + 1.0
         ratio = np.log((p / p.sum()) / (q / q.sum()))
@@ -76,8 +75,7 @@ class ToxicityModel:
         known = np.argsort(-clear, kind="stable")[:width]
         self.known = np.sort(known[clear[known] > max(0, CLEAR * clear[known[0]])]).astype(np.int32)
         columns, scale = self.columns(), ratio[self.known]
-        cols = [columns[s] for s in sets]
-        cols = [c[c >= 0] for c in cols]
+        cols = [c[c >= 0] for c in (columns[distinct_slots(text, ORDERS)] for text, _ in rows)]  # made again: memory stays small
         sizes, flat_cols = np.array([len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
         row = np.repeat(np.arange(len(rows)), sizes)
         value = scale[flat_cols]
