@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 
 BITS = 21
 SLOTS = 1 << BITS
+#: How many times the wanted rows are ranked; the chance that fewer come is nil for hundreds.
+OVERSAMPLE = 4
+_HASHES = 1 << 40
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes handled at once, so that the arrays stay in cache (a longer text comes alone), and
@@ -65,18 +68,23 @@ def distinct_slots(text: bytes, orders: range) -> np.ndarray:
 
 
 def training_rows(rows: DataFrame, per_label: int, most: int, most_bytes: int) -> list[tuple[bytes, object]]:
-    """(text, label) of at most `most` rows: of each label the `per_label` with the least
-    hash of their id among texts of at most `most_bytes`. rows: (id, text, label).
+    """(text, label) of at most `most` rows: of each label (the `most` commonest ones) the
+    `per_label` with the least hash of their id among texts of at most `most_bytes`.
+    rows: (id, text, label).
 
-    Ids are chosen first, without texts; the texts of the chosen ids, whose number is
-    bounded, are fetched by a broadcast of these ids.
+    Labels are counted first, and only ids whose hash lies below OVERSAMPLE times the wanted
+    share are ranked, so what is ranked doesn't grow with the table.  Then the texts of the
+    chosen ids, whose number is bounded, are fetched by a broadcast of these ids.
     """
     fit = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.octet_length("text") <= most_bytes))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ranked = fit.select("id", "label").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_label)
-    ids = [r[0] for r in ranked.orderBy("at", "label").limit(most).select("id").collect()]
-    if not ids:
+    counts = fit.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()
+    if not counts:
         return []
+    below = F.create_map(*[F.lit(v) for label, n in counts for v in (label, min(_HASHES, OVERSAMPLE * per_label * _HASHES // n + 1))])
+    hashed = fit.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(_HASHES)).alias("at")).where(F.col("at") < below[F.col("label")])
+    order = Window.partitionBy("label").orderBy("at", "id")
+    ranked = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    ids = [r[0] for r in ranked.orderBy("rank", "label").limit(most).select("id").collect()]
     chosen = rows.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], rows.select("id").schema)
     got = fit.join(F.broadcast(chosen), "id", "left_semi").select("id", "text", "label").limit(2 * most).collect()
     return [(r[1].encode(), r[2]) for r in sorted(got, key=lambda r: (r[0], str(r[2]), r[1]))]
