@@ -76,7 +76,7 @@ def stats(docs: DataFrame, posted: DataFrame) -> DataFrame:
     """docs, trigrams, postings and mean postings per trigram, in one row."""
     n = docs.agg(F.count("*").alias("docs"))
     p = posted.groupBy("tri").agg(F.count("*").alias("n")).agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
-    return p.join(n, F.lit(True)).select("docs", "trigrams", "postings", (F.col("postings") / F.col("trigrams")).alias("per_trigram"))
+    return p.select(n.scalar().alias("docs"), "trigrams", "postings", (F.col("postings") / F.col("trigrams")).alias("per_trigram"))
 
 
 @dataclass(frozen=True)

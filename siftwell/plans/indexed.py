@@ -96,4 +96,4 @@ def search_stats(index: Index, search: Search) -> DataFrame:
     else:
         n = asked.agg(F.countDistinct("doc_id").alias("candidate_docs"), F.count("*").alias("candidate_lines"))
     density = F.col("candidate_lines") / F.nullif(F.col("candidate_docs"), F.lit(0))
-    return n.join(found, F.lit(True)).select(F.lit(plan).alias("strategy"), "candidate_docs", "candidate_lines", "matches", density.alias("density"))
+    return n.select(F.lit(plan).alias("strategy"), "candidate_docs", "candidate_lines", found.scalar().alias("matches"), density.alias("density"))
