@@ -11,13 +11,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that a kernel sees at once; a single longer text comes alone.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch at most: batches of whole texts are held several times over.
+BATCH_ROWS = 2000
 _TEXT = "__text"
 
 
@@ -47,6 +49,13 @@ def sliced(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel: Callable[[], Callable], keep: Sequence[str] | None = None, where: Callable | None = None, only_filter: bool = False) -> DataFrame:
     """`keep` (default: all columns) plus `added`, computed from `text_col`.
 
@@ -56,16 +65,21 @@ def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel:
     column is added.  A kept column with the name of an added one gives way to it.
     """
     names = [c for c in (docs.columns if keep is None else keep) if only_filter or c not in added.names]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(_TEXT))
-    out = T.StructType([*source.schema.fields[:-1], *([] if only_filter else added.fields)])
+    kept = [F.col(f"`{c}`") for c in names]
+    if text_col in names and docs.schema[text_col].dataType == T.StringType():  # one copy of the texts is enough
+        at, source = names.index(text_col), docs.select(kept)
+    else:
+        at, source = len(names), docs.select(*kept, F.col(f"`{text_col}`").cast("string").alias(_TEXT))
+    out = T.StructType([*source.schema.fields[: len(names)], *([] if only_filter else added.fields)])
+    small_batches(docs.sparkSession)
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches):
         compute = kernel()
         for batch in batches:
-            for part in sliced(batch, len(names)):
-                made = [pa.array(x, kind) for x, kind in zip(compute(part.column(len(names))), kinds, strict=True)]
-                rows = pa.RecordBatch.from_arrays([*part.columns[:-1], *([] if only_filter else made)], names=out.names)
+            for part in sliced(batch, at):
+                made = [pa.array(x, kind) for x, kind in zip(compute(part.column(at)), kinds, strict=True)]
+                rows = pa.RecordBatch.from_arrays([*part.columns[: len(names)], *([] if only_filter else made)], names=out.names)
                 yield rows if where is None else rows.filter(pa.array(where(made)))
 
     return source.mapInArrow(run, out)
