@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans come from one pattern per kind (email, ip, card, phone) with its check.  They
-seed the bootstrap: every token with a digit or an @ is an instance, the words around it
-are its lexical patterns (the two words before it, and the word before with the word
-after), and patterns and instances form a graph.  Spark scores the graph in turns:
+seed the bootstrap: a base span with all its tokens is an instance of the span's text, and
+so is every other run of tokens with a digit that only blanks and phone punctuation part,
+and every other token with an @.  A token begins after white space or a label's = or :.
+The words around an instance, whatever they hold, are its lexical patterns (the two words
+before it, the word before, the word after, and both neighbours), and patterns and
+instances form a graph.  Spark scores the graph in turns:
 
     pattern  = sum of its different instances' scores / (their number + SMOOTHING)
     instance = best score of its patterns, seeds staying at 1
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .storage import Stages
 
@@ -48,7 +52,9 @@ ROUNDS = 3
 SMOOTHING = 2.0
 CONFIDENT = 0.6
 SUPPORT = 5
-_INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_TOKEN = r"(?<![^\s=:])[^\s0-9@=:]*+[0-9@]\S*+"
+#: What may part the tokens of one number.
+_JOINT = r"^[\x20\t().-]+$"
 _BLOCK = 512
 _NEAR = 96  # code points around an instance in which its context words are looked for
 
@@ -108,48 +114,89 @@ def _base(kind: str) -> Column:
     return F.transform(F.filter(rows, lambda r: r["ok"]), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias(kind)
 
 
-def _instances() -> Column:
-    """array<struct<start, end, value, before, after>>: tokens with a digit or an @."""
-    gap = lambda i: F.get(F.col("token_g"), i)
+def _tokens() -> Column:
+    """array of the tokens with a digit or an @, for `_instances`, with the words around each;
+    a token is itself one word of its neighbours' surroundings."""
+    token, gap = lambda i: F.coalesce(F.get("token_m", i), F.lit("")), lambda i: F.coalesce(F.get("token_g", i), F.lit(""))
+    last = lambda c: F.right(c, F.lit(_NEAR))
+    first = lambda c: F.left(c, F.lit(_NEAR))
 
     def row(m: Column, i: Column) -> Column:
-        end = F.get(F.col("token_e"), i)
-        before = F.regexp_extract(gap(i).substr(F.greatest(F.length(gap(i)) - _NEAR + 1, F.lit(1)), F.lit(_NEAR)), r"(\S+\s+\S+)\s*$", 1)
-        after = F.regexp_extract(gap(i + 1).substr(F.lit(1), F.lit(_NEAR)), r"^\s*(\S+)", 1)
-        return F.named_struct(F.lit("start"), end - F.length(m), F.lit("end"), end, F.lit("value"), F.lower(m), F.lit("before"), F.lower(before), F.lit("after"), F.lower(after))
+        end = F.get("token_e", i)
+        left = last(F.concat(last(gap(i - 2)), last(token(i - 2)), last(gap(i - 1)), last(token(i - 1)), last(gap(i))))
+        right = first(F.concat(first(gap(i + 1)), first(token(i + 1))))
+        joins = gap(i).rlike(_JOINT) & ~F.contains(m, F.lit("@")) & ~F.contains(token(i - 1), F.lit("@"))
+        return _part(end, False, end - F.length(m), end, F.lower(m), F.lower(F.regexp_extract(left, r"(\S+)\s*$", 1)), F.lower(F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)), F.lower(F.regexp_extract(right, r"^\s*(\S+)", 1)), joins)
 
     return F.transform("token_m", row)
 
 
-def _spans_and_instances(source: DataFrame) -> DataFrame:
-    """(doc_id, text_key, base, instances) of (doc_id, text); each step is a projection of
-    its own, so that no pattern runs twice."""
+def _part(at: Column, is_span: bool, start: Column, end: Column, value: Column, before: Column, before2: Column, after: Column, joins: Column, kind: str = "") -> Column:
+    named = {"at": at, "is_span": F.lit(is_span), "start": start, "end": end, "value": value, "before": before, "before2": before2, "after": after, "joins": joins, "kind": F.lit(kind), "turn": F.lit(-KINDS.index(kind) if kind else 0)}
+    return F.named_struct(*[c for k, v in named.items() for c in (F.lit(k), v)])
+
+
+def _valued(kind: str) -> Column:
+    """The kind's base spans with their text, as parts like the tokens."""
+    none = F.lit("")
+    rows = F.filter(F.zip_with(f"{kind}_m", f"{kind}_e", lambda m, e: F.named_struct(F.lit("m"), m, F.lit("e"), e)), lambda r: _valid(kind, r["m"]))
+    return F.transform(rows, lambda r: _part(r["e"] - F.length(r["m"]), True, r["e"] - F.length(r["m"]), r["e"], F.lower(r["m"]), none, none, none, F.lit(False), kind))
+
+
+def _instances(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, value, before, before2, after, kind): the instances,
+    kind being that of their base span, or null.
+
+    A token's span is the one that ends last of those that start before the token's end.
+    Tokens that one span covers are one instance, as are tokens of no span that join.
+    """
+    rows = found.where("size(parts) > 0").select("doc_id", "text_key", "parts", F.monotonically_increasing_id().alias("row")).select("row", "doc_id", "text_key", F.explode("parts").alias("p")).select("row", "doc_id", "text_key", "p.*")
+    order = Window.partitionBy("row").orderBy("at", "is_span")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("is_span"), F.struct("end", "turn", "kind", "value"))).over(so_far)
+    tokens = rows.withColumn("reach", reach).where("not is_span").withColumn("seed", F.when(F.col("reach.end") > F.col("start"), F.col("reach")))
+    one_span = F.coalesce(F.lag("reach.end").over(order) > F.col("start"), F.lit(False))
+    joined = F.col("joins") & F.col("seed").isNull() & F.lag("seed").over(order).isNull()
+    runs = tokens.withColumn("opens", F.when(one_span | joined, 0).otherwise(1)).withColumn("run", F.sum("opens").over(so_far))
+    made = runs.groupBy("row", "doc_id", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("seed").alias("seed"), F.collect_list(F.struct("start", "value")).alias("texts"),
+        F.min_by(F.struct("before", "before2"), "start").alias("b"), F.max_by("after", "start").alias("after"),
+    )
+    text = F.array_join(F.transform(F.array_sort("texts"), lambda t: t["value"]), " ")
+    return made.select("doc_id", "text_key", "start", "end", F.coalesce("seed.value", text).alias("value"), "b.before", "b.before2", "after", F.col("seed.kind").alias("kind"))
+
+
+def _spans_and_parts(source: DataFrame) -> DataFrame:
+    """(doc_id, text_key, base, parts: the tokens and the base spans) of (doc_id, text); each
+    step is a projection of its own, so that no pattern runs twice."""
     text = F.col("text")
     marked = source.select("doc_id", "text", F.xxhash64("text").alias("text_key"), text.rlike("[0-9]").alias("digit"), F.contains(text, F.lit("@")).alias("at"))
     sign = {"email": F.col("at"), "ip": F.col("digit") & F.contains(text, F.lit(".")), "card": F.col("digit"), "phone": F.col("digit") & F.contains(text, F.lit("+"))}
-    matched = marked.select("doc_id", "text_key", *[c for k in KINDS for c in _found(text, FAST[k], sign[k], k)], *_found(text, _INSTANCE, F.col("digit") | F.col("at"), "token"))
+    matched = marked.select("doc_id", "text_key", *[c for k in KINDS for c in _found(text, FAST[k], sign[k], k)], *_found(text, _TOKEN, F.col("digit") | F.col("at"), "token"))
     placed = matched.select("*", *map(_ends, (*KINDS, "token")))
-    return placed.select("doc_id", "text_key", F.struct(*map(_base, KINDS)).alias("base"), _instances().alias("instances"))
+    return placed.select("doc_id", "text_key", F.struct(*map(_base, KINDS)).alias("base"), F.concat(_tokens(), *map(_valued, KINDS)).alias("parts"))
 
 
-def _patterns(before: str, after: str) -> Column:
-    """The lexical patterns of an instance: `a b _` and `b _ c`."""
-    b, a = F.col(before), F.col(after)
-    last = F.regexp_extract(b, r"(\S+)$", 1)
-    return F.filter(F.array(F.when(b != "", F.concat(b, F.lit(" _"))), F.when((b != "") & (a != ""), F.concat(last, F.lit(" _ "), a))), lambda p: p.isNotNull())
+def _patterns() -> Column:
+    """The lexical patterns of an instance: `a b _`, `b _ c`, `b _` and `_ c`."""
+    b, a = F.col("before"), F.col("after")
+    left, right = F.concat(b, F.lit(" _")), F.concat(F.lit("_ "), a)
+    every = F.array(F.when(F.col("before2") != "", F.concat("before2", F.lit(" _"))), F.when((b != "") & (a != ""), F.concat(b, F.lit(" "), right)), F.when(b != "", left), F.when(a != "", right))
+    return F.array_distinct(F.filter(every, lambda p: p.isNotNull()))
 
 
 def confident_patterns(edges: DataFrame, stages: Stages) -> DataFrame:
     """(pattern, kind): edges: (pattern, value, kind), one for each different pair, kind
     being that of the seed that the instance is, or null."""
     edges = stages.write(edges)
-    support = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+    support = stages.write(edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")))
     seeded = edges.join(support.select("pattern").distinct(), "pattern", "left_semi")
     scores = seeded.select("pattern", "value", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
     for turn in range(ROUNDS):
         of_pattern = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("p"))
         if turn == ROUNDS - 1:
             break
+        of_pattern = stages.write(of_pattern)  # so that a pattern of very many instances can be split
         best = scores.join(of_pattern, "pattern").groupBy("value").agg(F.max("p").alias("best"))
         scores = stages.write(scores.join(best, "value").select("pattern", "value", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("best")).alias("score")))
     sure = of_pattern.where(F.col("p") >= CONFIDENT).select("pattern")
@@ -167,19 +214,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     extra: array<struct<start, end, kind>> of what the bootstrap adds, in order."""
     stages = Stages(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    found = stages.write(_spans_and_instances(source))
+    found = stages.write(_spans_and_parts(source))
 
-    rows = found.where("size(instances) > 0").select("doc_id", "text_key", F.concat(*map(_tagged, KINDS)).alias("spans"), F.explode("instances").alias("i"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("i.end")) & (s["end"] > F.col("i.start")))
-    rows = rows.select("doc_id", "text_key", "i.*", F.get(over, F.lit(0))["kind"].alias("kind"))
-    rows = rows.select("doc_id", "text_key", "start", "end", "value", "kind", F.explode(_patterns("before", "after")).alias("pattern"))
+    rows = _instances(found).select("doc_id", "text_key", "start", "end", "value", "kind", F.explode(_patterns()).alias("pattern"))
     rows = stages.write(rows)
     edges = rows.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     sure = confident_patterns(edges, stages)
     new = rows.where("kind is null").drop("kind").join(sure, "pattern").groupBy("doc_id", "text_key", "start", "end").agg(F.min("kind").alias("kind"))
     new = new.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.concat(F.lit("ctx_"), F.col("kind")).alias("kind")))).alias("extra"))
     n = new.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), "extra")
-    joined = found.drop("instances").join(n, F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("text_key") == F.col("__pii_key")), "left")
+    joined = found.drop("parts").join(n, F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("text_key") == F.col("__pii_key")), "left")
     return joined.select("doc_id", "text_key", "base", F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("extra"))
 
 

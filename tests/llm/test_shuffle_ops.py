@@ -241,6 +241,20 @@ def test_op6_bootstrap_finds_unseen(spark):
     assert got[100] == "ctx_email:15:27" and got[101] == "" and got[3].startswith("email:")
 
 
+def test_op6_bootstrap_learns_numbers_of_many_tokens_and_labels(spark):
+    rows = [(i, f"in 20{i} call me at +1 (0{i}) 555-77{i} today please") for i in range(10, 30)]
+    rows += [(i, f"Card: 4111 {luhn_tail(i)} ok{i}") for i in range(30, 50)]
+    rows += [(i, f"user{i} host={i}.1.2.3;") for i in range(50, 70)]
+    rows += [(100, "in 2099 call me at (099) 555 7799 today please"), (101, "Card: 77 88 99 end"), (102, "user9 host=box-7;"), (103, "page 12 34 of the book")]
+    got = {r.doc_id: r.spans for r in pii.span_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == "phone:19:36" and got[30].startswith("card:6:25") and got[50].startswith("ip:12:20")
+    assert got[100] == "ctx_phone:19:33" and got[101] == "ctx_card:6:14" and got[102] == "ctx_ip:11:17" and got[103] == ""
+
+
+def luhn_tail(i):
+    return next(f"1111 {i:04d} {k:04d}" for k in range(10) if luhn(f"41111111{i:04d}{k:04d}"))
+
+
 def test_op6_redacts(spark):
     rows = [(1, "to a@b.cd or +1 (017) 555-7713!", "k"), (2, None, "k"), (3, "clean", "k"), (3, "clean", "k"), (None, "ip 1.2.3.4", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base string")
