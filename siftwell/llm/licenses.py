@@ -66,10 +66,12 @@ FREEDOM = {
 UNKNOWN_FREEDOM = 0.3
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: Words that open a tag; they only lead to the raw text, where _TAG decides.
+#: Words that open a tag; they only lead to the raw text, where _HEAD decides.
 _TAG_WORDS = ("spdx license identifier", "license", "licence")
-_TAG = re.compile(r"(?i)(?:spdx-license-identifier|\blicen[sc]e)[ \t]*[:=][ \t]*[\"']?([^\"'\n\r]{1,512})")
+_HEAD = re.compile(r"(?i)(?:spdx-license-identifier|\blicen[sc]e)[ \t]*[:=][ \t]*[\"']?")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: A token, or what ends a tag's expression whatever comes before it.
+_NEXT = re.compile(_TOKEN.pattern + r"|[\"'\n\r]")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 
 
@@ -132,16 +134,23 @@ def evaluate(expression: str) -> tuple[set[str], float]:
         if token == "with":
             stack.append((left[0], min(1.0, left[1] + 0.1)))
         else:
-            stack.append((left[0] | right[0], (max if token == "or" else min)(left[1], right[1])))
+            few, many = sorted((left[0], right[0]), key=len)
+            many |= few  # in place, so that long expressions take no quadratic time
+            stack.append((many, (max if token == "or" else min)(left[1], right[1])))
     return stack[0]
 
 
 def tag_expressions(text: str) -> list[str]:
-    """What stands after each identifier tag, up to a word that can't go on an expression."""
+    """What stands after each identifier tag, up to a word that can't go on an expression, a
+    quote, the line's end or the next tag."""
     found = []
-    for m in _TAG.finditer(text):
+    heads = list(_HEAD.finditer(text))
+    ends = [h.start() for h in heads[1:]] + [len(text)] * bool(heads)
+    for m, end in zip(heads, ends, strict=True):
         kept: list[str] = []
-        for token in _TOKEN.findall(m[1]):
+        for token in map(re.Match.group, _NEXT.finditer(text, m.end(), end)):
+            if token in "\"'\n\r":
+                break
             if token in "()" or token.lower() in _ORDER or not kept or kept[-1] == "(" or kept[-1].lower() in _ORDER:
                 kept.append(token)
             else:

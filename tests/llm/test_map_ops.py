@@ -81,6 +81,18 @@ def test_op2_expressions():
     assert n[4:] == ("", "apache,lgpl", 0.9)
 
 
+def test_op2_reads_every_tag_whole():
+    def found(text):
+        return licenses.scan(text.encode(), licenses.automaton())[5:]
+
+    assert found("SPDX-License-Identifier: MIT for the code. SPDX-License-Identifier: GPL-3.0-only for the docs.") == ("gpl,mit", 0.4)
+    assert found("a.c License: MIT b.c License: CC-BY-NC-4.0") == ("cc-by,cc-by-nc,mit", 0.1)
+    assert found('x = {license: "MIT", y: 1, licence="GPL-2.0"}') == ("gpl,mit", 0.4)
+    assert found("License: MIT OR License: ISC\nMPL-2.0") == ("isc,mit", 1.0)
+    assert found("License: " + "MIT AND " * 200 + "GPL-2.0") == ("gpl,mit", 0.4)
+    assert found("License: " + " AND ".join(f"X{i}" for i in range(50000)) + " AND MIT")[1] == licenses.UNKNOWN_FREEDOM
+
+
 def test_op7_against_brute_force(spark, data, texts, odd):
     def brute(text, items):
         words, hit, of = plain_words(text), set(), set()
