@@ -3,8 +3,9 @@
 Two collections of m half-keys, each made of two minhashes, are formed for each set of
 five-word shingles; table key (i, j) combines half-key i of the first with half-key j of
 the second.  So 4m minhash functions serve m*m tables.  Two sets share a table exactly
-if they share a half-key of either collection, which a set of similarity 0.85 misses
-with a chance below 1e-4, and one of 0.9 with one below 4e-6 (m = 8).
+if they share a half-key of either collection.  m is at least 8 and so large that a pair at
+the wanted similarity is missed with a chance below 1e-4: 8 at 0.85 (below 4e-6 at 0.9), 10
+at 0.80.
 
 Documents of equal sets form a class, and only classes are compared.  Half-keys that one
 class alone has are dropped first, as no table key made of them can be shared.  In each
@@ -26,6 +27,7 @@ repeated doc_ids are rows like others, each with its text's component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ from .storage import Stages
 from .wordhash import chunks, mix, run_hashes, word_hashes
 
 SHINGLE = 5
-HALF_KEYS = 8  # of each of the two collections
+HALF_KEYS = 8  # of each of the two collections, at least
+MISS = 1e-4
 PER_KEY = 2  # minhashes in a half-key
 SMALL_BUCKET = 16
 #: Turns of counting own shingles; more of them only save time.
@@ -50,9 +53,22 @@ BLOCK_SHINGLES = 1 << 20
 #: Members checked together with one copy of their hub's text.
 PER_HUB_COPY = 256
 
-_RNG = np.random.default_rng(77)
-_MULTIPLY = _RNG.integers(1, 2**63, 2 * HALF_KEYS * PER_KEY, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, 2 * HALF_KEYS * PER_KEY, dtype=np.uint64)
+
+def half_key_count(percent: int) -> int:
+    """Half-keys of each collection that a similarity of percent / 100 needs."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    m = HALF_KEYS
+    while 1 - (1 - (1 - (percent / 100) ** PER_KEY) ** m) ** 2 >= MISS:
+        m += 1
+    return m
+
+
+@cache
+def _functions(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the minhash functions."""
+    rng = np.random.default_rng(77)
+    return rng.integers(1, 2**63, 2 * m * PER_KEY, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, 2 * m * PER_KEY, dtype=np.uint64)
 
 
 def shingle_sets(body: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -76,28 +92,29 @@ def set_name(sets: list[np.ndarray]) -> list[bytes]:
         return [np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)], "<u8").tobytes() for s in sets]
 
 
-def half_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 2 * HALF_KEYS half-keys for each (non-empty) set."""
+def half_keys(sets: list[np.ndarray], m: int = HALF_KEYS) -> np.ndarray:
+    """A row of 2 * m half-keys for each (non-empty) set."""
+    multiply, add = _functions(m)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     every, first = np.concatenate(sets), np.cumsum(sizes) - sizes
-    out = np.empty((len(sets), 2 * HALF_KEYS), np.uint64)
+    out = np.empty((len(sets), 2 * m), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(2 * HALF_KEYS):
+        for k in range(2 * m):
             key = np.full(len(sets), k, np.uint64)
             for j in range(k * PER_KEY, (k + 1) * PER_KEY):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(every * _MULTIPLY[j] + _ADD[j], first))
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(every * multiply[j] + add[j], first))
             out[:, k] = key
     return out
 
 
-def _fingerprint_kernel():
+def _fingerprint_kernel(m: int):
     def run(column):
         body, at = flat(column)
         names, sizes, keys = [], [], []
         for a, b in chunks(at):
             sets = shingle_sets(body[at[a] : at[b]], at[a + 1 : b + 1] - at[a])
             full = [s for s in sets if len(s)]
-            rows = iter(half_keys(full).view(np.int64).tolist() if full else [])
+            rows = iter(half_keys(full, m).view(np.int64).tolist() if full else [])
             names += set_name(sets)
             sizes += map(len, sets)
             keys += [next(rows) if len(s) else None for s in sets]
@@ -109,14 +126,14 @@ def _fingerprint_kernel():
 _FINGERPRINT = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def buckets_of(classes: DataFrame) -> DataFrame:
+def buckets_of(classes: DataFrame, m: int) -> DataFrame:
     """(bucket, n, c): the classes of each table bucket that holds n > 1 of them; keys that
     can't be shared are never made.  c is the class with its document and set size."""
     halves = classes.select(F.struct("class", "doc_id", "size").alias("c"), F.posexplode("keys").alias("k", "half"))
     shared = halves.groupBy("k", "half").agg(F.count("*").alias("n")).where("n > 1")
     kept = halves.join(shared, ["k", "half"]).groupBy("c").agg(F.collect_list(F.struct("k", "half")).alias("halves"), F.sum("n").alias("common"))
-    first = F.filter("halves", lambda x: x["k"] < HALF_KEYS)
-    second = F.filter("halves", lambda x: x["k"] >= HALF_KEYS)
+    first = F.filter("halves", lambda x: x["k"] < m)
+    second = F.filter("halves", lambda x: x["k"] >= m)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["k"], x["half"], y["k"], y["half"]))))
     rows = kept.select("c", "common", F.explode(tables).alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("common", "c"))["c"].alias("hub")).where("n > 1")
@@ -304,14 +321,14 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the
     documents that links reach), kept (doc_id = component_id); with_text_key adds
     text_key, xxhash64 of the text."""
-    stages = Stages(docs.sparkSession)
+    stages, m = Stages(docs.sparkSession), half_key_count(percent)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     key = ["text_key"] * with_text_key
-    prints = stages.write(append_columns(docs.withColumn("text_key", F.xxhash64("text")), "text", _FINGERPRINT, _fingerprint_kernel, ["doc_id", *key]))
+    prints = stages.write(append_columns(docs.withColumn("text_key", F.xxhash64("text")), "text", _FINGERPRINT, lambda: _fingerprint_kernel(m), ["doc_id", *key]))
     linked = prints.where("doc_id is not null and n_shingles > 0")
     # equal sets have equal keys, so any row's will do
     classes = stages.write(linked.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")))
-    buckets = stages.write(buckets_of(classes))
+    buckets = stages.write(buckets_of(classes, m))
 
     inner = buckets.where("c <> hub")
     links = stages.write(confirm(inner.select(F.col("hub").alias("a"), F.col("c").alias("b"), "n"), docs, percent))

@@ -101,6 +101,20 @@ def test_op3_misses_little():
     assert missed == 0
 
 
+def test_pipeline_links_from_80_percent(spark):
+    import corpus_pipeline as P
+
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        words = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(94)]  # 90 shingles
+        other = words[:-9] + [f"z{k}_{i}" for i in range(9)]  # 81 in common of 99: 0.818
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == [2 * k for k in range(60)]
+    assert near_dups.group_near_duplicates(docs).where("kept").count() == 120
+    assert near_dups.half_key_count(85) == 8 and near_dups.half_key_count(80) == 10
+
+
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_its_sql(spark, data, name, tmp_path):
     db = duckdb.connect()
