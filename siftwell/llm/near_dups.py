@@ -320,7 +320,8 @@ def cluster_links(large: DataFrame, docs: DataFrame, stages: Stages, percent: in
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, with_text_key: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the
     documents that links reach), kept (doc_id = component_id); with_text_key adds
-    text_key, xxhash64 of the text."""
+    text_key, xxhash64 of the text, and root, which names the group (null for rows that
+    link nothing)."""
     stages, m = Stages(docs.sparkSession), half_key_count(percent)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     key = ["text_key"] * with_text_key
@@ -346,18 +347,21 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), stages)
     groups = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = groups.join(least, "root").select("class", "component_id")
-    alone = prints.where("doc_id is null or n_shingles = 0").select("doc_id", *key, "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.join(of_class, "class").select("doc_id", *key, "n_shingles", "component_id").union(alone)
+    root = ["root"] * with_text_key
+    of_class = groups.join(least, "root").select("class", "component_id", *root)
+    alone = prints.where("doc_id is null or n_shingles = 0").select("doc_id", *key, "n_shingles", F.col("doc_id").alias("component_id"), *[F.lit(None).cast("binary").alias(c) for c in root])
+    out = linked.join(of_class, "class").select("doc_id", *key, "n_shingles", "component_id", *root).union(alone)
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; of rows that repeat
-    an id and a text one stays.  Rows with a null id stay.  Columns are those of docs."""
+    """docs with one document of each group, that of the smallest id and, where rows of a
+    group repeat it, of the least text_key; of rows that repeat an id and a text one stays.
+    Rows of one id in different groups each stay for their group.  Rows with a null id stay.  Columns are those of docs."""
     groups = group_near_duplicates(docs, id_col, text_col, percent, True)
-    kept = groups.where("kept and doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"), F.col("rows").alias("__rows"))
+    kept = groups.where("kept and doc_id is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    least = kept.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("k")).select("k.*")
+    kept = least.union(kept.where("root is null").select("doc_id", "text_key", "rows")).select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"), F.col("rows").alias("__rows"))
     same = (F.col(f"`{id_col}`") == F.col("__kept_id")) & F.xxhash64(F.col(f"`{text_col}`").cast("string")).eqNullSafe(F.col("__kept_key"))
     out = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, same)
     one = F.row_number().over(Window.partitionBy("__kept_id", "__kept_key").orderBy("__rows"))

@@ -89,6 +89,16 @@ def test_op3_drops_all_but_one(spark):
     assert sorted(map(tuple, near_dups.drop_near_duplicates(docs).collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[6]], key=str)
 
 
+def test_op3_drops_near_copies_under_one_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "z"]), "quite another text under the same id"
+    rows = [(5, one), (5, near), (5, one.upper()), (5, other), (5, ""), (6, near), (7, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dups.drop_near_duplicates(docs).collect()]
+    assert sum(r[1].lower() in (one, near) for r in got) == 1 and len(got) == 4
+    assert {(5, other), (5, ""), (7, "a b c d e f")} < set(got)
+
+
 def test_op3_misses_little():
     rng = np.random.default_rng(1)
     missed = 0
