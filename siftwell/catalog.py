@@ -103,6 +103,11 @@ def update_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.diff(old_documents(spark, sf_dir), new).select("path", "change")
 
 
+def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of ASCII only, whose folding SQL knows."""
+    return documents(spark, sf_dir).where(F.length("text") == F.octet_length("text")).select("doc_id")
+
+
 def _posted(columns: list[str], table: str):
     return lambda spark, sf_dir: prepared(spark, sf_dir).table(table).select(*columns)
 
@@ -153,9 +158,11 @@ def queries() -> dict:
         "trim_output": lambda s, d: _find("the").run(docs(s, d).withColumn("text", F.regexp_replace("text", "\n", "\n \t "))).select("doc_id", "line_number", trimmed(F.col("line")).alias("line")),
         "format_grep": _rendered(_find("token"), "grep", 1, 1),
         "format_heading": _rendered(_find("token"), "heading"),
+        "format_compact": lambda s, d: render(_find("token").run(docs(s, d)), "compact", root="src1"),
         "byte_offsets": lambda s, d: ix.with_offsets(docs(s, d)).drop("path"),
         "index_postings": _posted(["tri", "doc_id", "line_no", "byte_offset"], "postings"),
         "index_doc_sets": _posted(["tri", "doc_id"], "doc_postings"),
+        "index_postings_ci": lambda s, d: prepared(s, d).table("postings_ci").join(_ascii(s, d), "doc_id", "left_semi").select("tri", "doc_id", "line_no"),
         "index_followers": _posted(["tri", "next"], "followers"),
         "index_stats": lambda s, d: prepared(s, d).stats(),
         "indexed_literal": _indexed(_find("token")),
@@ -244,8 +251,11 @@ def oracle_sql() -> dict[str, str]:
           SELECT path, line_number, CAST(split AS BIGINT) AS part, output FROM rows UNION ALL SELECT path, line_number, 0, '--' FROM rows WHERE split""",
         "format_heading": f"""WITH l AS ({_lines()}), h AS (SELECT path, line_number, line, row_number() OVER (PARTITION BY path ORDER BY line_number) = 1 AS first FROM l WHERE contains(line, 'token'))
           SELECT path, line_number, CAST(first AS BIGINT) AS part, line_number || ':' || line AS output FROM h UNION ALL SELECT path, line_number, 0, path FROM h WHERE first""",
+        "format_compact": f"""WITH l AS ({_lines()}), h AS (SELECT path, line_number, line, row_number() OVER (PARTITION BY path ORDER BY line_number) = 1 AS first FROM l WHERE contains(line, 'token'))
+          SELECT path, line_number, CAST(first AS BIGINT) AS part, line_number || ':' || line AS output FROM h UNION ALL SELECT path, line_number, 0, CASE WHEN path LIKE 'src1/%' THEN substr(path, 6) ELSE path END FROM h WHERE first""",
         "byte_offsets": f"{offsets} SELECT doc_id, line_number, line, byte_offset FROM o",
         "index_postings": f"{offsets} {grams}",
+        "index_postings_ci": f"{offsets}, a AS (SELECT doc_id, line_number, lower(line) AS line, byte_offset FROM o WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) = octet_length(encode(text)))) SELECT tri, doc_id, line_no FROM ({grams.replace('FROM o', 'FROM a')})",
         "index_doc_sets": f"{offsets} SELECT DISTINCT tri, doc_id FROM ({grams})",
         "index_followers": f"{docs_of} SELECT DISTINCT substring(text, CAST(i AS BIGINT), 3) AS tri, substring(text, CAST(i AS BIGINT) + 3, 1) AS next FROM d, generate_series(1, length(text) - 3) AS g(i)",
         "index_stats": f"{offsets}, p AS ({grams}) SELECT (SELECT count(*) FROM documents) AS docs, count(DISTINCT tri) AS trigrams, count(*) AS postings, count(*) / count(DISTINCT tri) AS per_trigram FROM p",

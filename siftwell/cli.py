@@ -21,7 +21,7 @@ from .operators.render import FORMATS, format_number, render, resolve_format, so
 from .operators.search import PathFilter, Pattern, Search
 from .plans import index as ix
 from .plans import indexed, maintain
-from .sources.corpus import from_directory
+from .sources.corpus import from_directory, listing, read_files
 from .streaming.watch import watch
 
 ACTIONS = ("search", "index", "update", "stats", "compact", "watch")
@@ -64,7 +64,7 @@ def run_search(spark: SparkSession, a: argparse.Namespace, pattern: str, path: s
     search = Search(p, PathFilter(tuple(a.include), tuple(a.exclude), tuple(a.type), a.hidden), a.invert_match)
     index = None
     if a.index:
-        index = ix.Index(spark, a.index) if ix.is_current(spark, a.index) else ix.build(from_directory(spark, path, a.no_ignore, (a.index,)), a.index, a.ignore_case, path)
+        index = ix.Index(spark, a.index) if ix.is_current(spark, a.index) else ix.build(from_directory(spark, path, a.no_ignore, (a.index,), True), a.index, a.ignore_case, path)
     docs = None if index else from_directory(spark, path, a.no_ignore)
     found = indexed.matching(index, search) if index else search.matching(docs)
     if a.quiet:
@@ -99,20 +99,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return run_search(spark, a, words[0], path)
         if not a.index:
             raise ValueError("--index is needed")
-        corpus = lambda: from_directory(spark, path, a.no_ignore, (a.index,))
+        corpus = lambda: from_directory(spark, path, a.no_ignore, (a.index,), True)
+        listed, read = lambda: listing(spark, path, a.no_ignore, (a.index,)), lambda names: read_files(names, path)
         if a.do == "index":
             made = ix.build(corpus(), a.index, a.ignore_case, path, {"no_ignore": a.no_ignore})
             print(f"{format_number(made.table('docs').count())} documents")
         elif a.do == "update":
-            _, s = maintain.update(ix.Index(spark, a.index), corpus())
+            _, s = maintain.update_folder(listed(), a.index, read)
             print(f"{s.added} added, {s.modified} modified, {s.deleted} deleted, {format_number(s.docs)} documents")
         elif a.do == "compact":
             maintain.compact(ix.Index(spark, a.index))
         elif a.do == "watch":
-            watch(spark, a.index, corpus, f"{a.index}/.watch").awaitTermination()
+            watch(spark, a.index, listed, f"{a.index}/.watch", read=read).awaitTermination()
         else:
-            r = ix.Index(spark, a.index).stats().first()
+            index = ix.Index(spark, a.index)
+            r = index.stats().first()
             print(f"{format_number(r.docs)} documents, {format_number(r.trigrams)} trigrams, {r.per_trigram or 0:.1f} postings each")
+            print(f"{format_number(index.folder.size())} bytes, {len(index.deltas)} deltas, {'stale' if maintain.is_stale(index, listed()) else 'current'}")
     except Exception as e:  # as any command: say why, and fail
         print(f"siftwell: {e}", file=sys.stderr)
         return 1

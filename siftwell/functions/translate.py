@@ -6,6 +6,9 @@ anchors, the dot, and case folding (always by Unicode).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from .linear import is_single, unwrapped
 from .regex_ast import Alt, Assert, Class, Concat, Dot, Group, Lit, PatternError, Repeat
 
 # What \w, \d and \s hold, by Unicode and in ASCII, inside a class.
@@ -77,7 +80,26 @@ def assertion(node: Assert) -> str:
     }[node.kind]
 
 
+def simplified(node):
+    """The node with alternations of single characters as classes, which need no recursion."""
+    if isinstance(node, Alt):
+        nodes = tuple(map(simplified, node.nodes))
+        flat = [unwrapped(x) for x in nodes]
+        if all(isinstance(x, (Lit, Class)) and not x.ci for x in flat):
+            return Class(tuple((x.char, x.char) if isinstance(x, Lit) else x for x in flat))
+        return Alt(nodes)
+    if isinstance(node, Concat):
+        return Concat(tuple(map(simplified, node.nodes)))
+    if isinstance(node, (Group, Repeat)):
+        return replace(node, node=simplified(node.node))
+    return node
+
+
 def to_java(node) -> str:
+    return _java(simplified(node))
+
+
+def _java(node) -> str:
     if isinstance(node, Lit):
         return f"(?iu:{char(node.char)})" if node.ci else char(node.char)
     if isinstance(node, Dot):
@@ -87,12 +109,17 @@ def to_java(node) -> str:
     if isinstance(node, Class):
         return f"(?iu:{class_body(node)})" if node.ci else class_body(node)
     if isinstance(node, Group):
-        return f"(?:{to_java(node.node)})"
+        return f"(?:{_java(node.node)})"
     if isinstance(node, Alt):
         return "|".join(map(to_java, node.nodes))
     if isinstance(node, Repeat):
         count = "*" if (node.low, node.high) == (0, None) else f"{{{node.low},{'' if node.high is None else node.high}}}"
-        return f"(?:{to_java(node.node)}){count}{'?' * node.lazy}"
+        count += "?" * node.lazy
+        inner = unwrapped(node.node)
+        if is_single(inner):  # without a group, so that the repetition is a plain loop
+            bare = _java(replace(inner, ci=False) if getattr(inner, "ci", False) else inner)
+            return f"(?iu:{bare}{count})" if getattr(inner, "ci", False) else f"{bare}{count}"
+        return f"(?:{_java(node.node)}){count}"
     if isinstance(node, Concat):
         out, run = [], ""
         for x in node.nodes:  # case-insensitive literals in one group
@@ -102,6 +129,6 @@ def to_java(node) -> str:
             if run:
                 out.append(f"(?iu:{run})")
                 run = ""
-            out.append(to_java(x))
+            out.append(_java(x))
         return "".join(out) + (f"(?iu:{run})" if run else "")
     raise TypeError(node)

@@ -38,7 +38,16 @@ def trimmed(line: Column) -> Column:
 
 
 def highlighted(line: Column, pattern: Pattern) -> Column:
-    return F.regexp_replace(line, F.lit(f"({pattern.java})"), F.lit(f"{MATCH}$1{RESET}"))
+    """The line with its matches coloured."""
+
+    def colour(p, text: str) -> str:
+        out, at = [], 0
+        for a, b in p.spans(text):
+            out += [text[at:a], MATCH, text[a:b], RESET]
+            at = b
+        return "".join(out) + text[at:]
+
+    return pattern.split(line, F.regexp_replace(line, F.lit(f"({pattern.java})"), F.lit(f"{MATCH}$1{RESET}")), "string", colour)
 
 
 def render(found: DataFrame, form: str = "grep", trim: bool = False, pattern: Pattern | None = None, root: str = "") -> DataFrame:

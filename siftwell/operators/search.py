@@ -3,22 +3,35 @@
 A pattern is planned once, on the driver, into JVM predicates: `contains` where the
 pattern is plain text, an OR of them for an alternation of texts, and otherwise a
 required text (if there is one) before the regular expression.  All matching is by line.
+
+The JVM's regular expressions backtrack, and enter repeated groups recursively: a long
+text would exhaust a task's stack.  Where a pattern repeats more than single characters,
+texts above SHORT characters (all, if such repetitions are nested) go to a matcher in
+linear time, in Arrow batches; others stay null there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex_ast
+from ..functions.arrays import let, running
+from ..functions.linear import loops, program
 from ..functions.predicates import below, is_hidden, passes_globs, passes_types
-from ..functions.translate import to_java
+from ..functions.translate import simplified, to_java
 from ..functions.trigrams import required_literal, trigram_query
 from ..sources.corpus import lines, shown
 
 
+#: Characters up to which a repeated group is matched in the JVM.
+SHORT = 512
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A pattern of the search dialect with its switches."""
@@ -55,11 +68,31 @@ class Pattern:
             for t in texts[1:]:
                 out = out | F.contains(line, F.lit(t))
             return out
-        found = line.rlike(to_java(tree))
+        found = self.split(line, line.rlike(to_java(tree)), "boolean", lambda p, t: p.matches(t))
         needed = None if self.folded else required_literal(tree)
         return F.contains(line, F.lit(needed)) & found if needed else found
 
 
+    def split(self, text: Column, in_jvm: Column | None, kind: str, run: Callable, flags: str = "") -> Column:
+        """in_jvm (if there is such a way) where the pattern can be matched there safely, else
+        run(program, text); flags hold in the program."""
+        tree = simplified(regex_ast.parse(f"(?{flags}){self.text}", self.ignore_case, self.unicode) if flags else self.tree)
+        depth = loops(tree) if in_jvm is not None else 2
+        if not depth:
+            return in_jvm
+
+        def compute(texts: pd.Series) -> pd.Series:
+            p = program(tree)
+            return pd.Series([None if t is None else run(p, t) for t in texts], dtype=object)
+
+        compute.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        by_line = F.pandas_udf(compute, kind)
+        if depth > 1:
+            return by_line(text)
+        long = F.length(text) > SHORT
+        return F.when(long, by_line(F.when(long, text))).otherwise(in_jvm)
+
+
 @dataclass(frozen=True)
 class PathFilter:
     """Which documents are searched, by their paths."""
@@ -122,21 +155,32 @@ def display(found: DataFrame) -> DataFrame:
 def match_starts(docs: DataFrame, pattern: Pattern) -> DataFrame:
     """Lines in which a match over the whole text begins, each once: texts are split at
     the matches, and line feeds are counted before each."""
-    java = "(?m)" + pattern.java
-    whole = docs.where(F.col("text").rlike(java))
-    gaps, hits = F.split("text", java, -1), F.regexp_extract_all("text", F.lit(java), F.lit(0))
-    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    pairs = whole.select("doc_id", "path", "text", gaps.alias("gaps"), hits.alias("hits"))
     if _can_be_empty(pattern.tree):
         raise regex_ast.PatternError("a multiline pattern must not match the empty text")
-    starts = F.aggregate(
-        F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("g"), F.col("hits").alias("h")),
-        F.named_struct(F.lit("at"), F.lit(1), F.lit("list"), F.array().cast("array<int>")),
-        lambda acc, x: F.named_struct(F.lit("at"), acc["at"] + feeds(x["g"]) + feeds(x["h"]), F.lit("list"), F.concat(acc["list"], F.array(acc["at"] + feeds(x["g"])))),
-        lambda acc: acc["list"],
-    )
-    numbers = pairs.select("doc_id", "path", "text", F.explode(F.array_distinct(starts)).alias("n"))
-    return numbers.select("doc_id", "path", F.col("n").cast("long").alias("line_number"), F.get(F.split("text", "\n", -1), F.col("n") - 1).alias("line"))
+    java = "(?m)" + pattern.java
+    whole = docs.where("text is not null").select("doc_id", "path", "text")
+    if loops(simplified(pattern.tree)):
+        starts = whole.select("*", pattern.split(F.col("text"), None, "array<int>", _start_lines, "m").alias("starts"))
+    else:
+        feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+        gaps, hits = F.split("text", java, -1), F.regexp_extract_all("text", F.lit(java), F.lit(0))
+        pairs = whole.where(F.col("text").rlike(java)).select("*", F.transform(gaps, feeds).alias("gaps"), F.transform(hits, feeds).alias("hits"))
+        steps = pairs.select("doc_id", "path", "text", "gaps", F.zip_with(F.slice("gaps", F.lit(1), F.size("hits")), "hits", lambda g, h: g + h).alias("steps"))
+        ends = steps.select("doc_id", "path", "text", "steps", "gaps", running(F.col("steps")).alias("ends"))  # feeds up to the end of each match
+        before = F.zip_with(F.zip_with("ends", "steps", lambda e, s: e - s), F.slice("gaps", F.lit(1), F.size("steps")), lambda b, g: b + g + 1)
+        starts = ends.select("doc_id", "path", "text", before.alias("starts"))
+    of = lambda parts: F.transform(F.array_distinct("starts"), lambda n: F.struct(n.alias("n"), F.get(parts, n - 1).alias("line")))
+    numbers = starts.where(F.size("starts") > 0).select("doc_id", "path", F.explode(let(F.split("text", "\n", -1), of)).alias("r"))
+    return numbers.select("doc_id", "path", F.col("r.n").cast("long").alias("line_number"), "r.line")
+
+
+def _start_lines(p, text: str) -> list[int]:
+    out, at, line = [], 0, 1
+    for start, _ in p.spans(text):
+        line += text.count("\n", at, start)
+        at = start
+        out.append(line)
+    return out
 
 
 def _can_be_empty(node) -> bool:
@@ -161,7 +205,7 @@ def only_matching(found: DataFrame, pattern: Pattern) -> DataFrame:
     java = f"((?>{pattern.java}))"
     if _can_be_empty(pattern.tree):
         java += r"(?!(?<=[\s\S])\G)"  # not empty where the last match ended
-    hits = F.regexp_extract_all("line", F.lit(java), F.lit(1))
+    hits = pattern.split(F.col("line"), F.regexp_extract_all("line", F.lit(java), F.lit(1)), "array<string>", lambda p, t: [t[a:b] for a, b in p.spans(t)])
     out = found.select("doc_id", "path", "line_number", F.posexplode(hits).alias("at", "match"))
     return out.select("doc_id", "path", "line_number", (F.col("at") + 1).cast("long").alias("nth"), "match")
 
@@ -185,4 +229,5 @@ def exists(found: DataFrame) -> DataFrame:
 
 def count_occurrences(found: DataFrame, pattern: Pattern) -> DataFrame:
     """Matches (not lines) per path."""
-    return found.groupBy("path").agg(F.sum(F.regexp_count("line", F.lit(pattern.java))).cast("long").alias("n"))
+    n = pattern.split(F.col("line"), F.regexp_count("line", F.lit(pattern.java)), "int", lambda p, t: len(p.spans(t)))
+    return found.select("path", n.alias("n")).groupBy("path").agg(F.sum("n").cast("long").alias("n"))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import extension, is_text
-from .ignore import walk_files
+from .ignore import walk
 
 #: doc_id long, path string, ext string, text string, mtime long
 COLUMNS = ("doc_id", "path", "ext", "text", "mtime")
@@ -31,30 +31,40 @@ def from_table(df: DataFrame, id_col: str, text_col: str, path: Column | None =
     )
 
 
-def from_directory(spark: SparkSession, root: str, no_ignore: bool = False, skip: tuple[str, ...] = (), files_per_task: int = 256) -> DataFrame:
-    """The text files below root. The listing is the driver's; contents are read by tasks.
+def listing(spark: SparkSession, root: str, no_ignore: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
+    """path and mtime of the files below root, found by tasks, a folder of the top each;
+    contents aren't opened."""
+    return walk(spark, root, no_ignore, skip).select("path", "mtime")
 
-    Ids are the positions in path order among the listed files; files that can't be read
-    or are binary drop out.  Malformed UTF-8 becomes U+FFFD.
-    """
-    listed = [(i, p, m) for i, (p, _, m) in enumerate(walk_files(root, no_ignore, skip))]
-    names = spark.createDataFrame(listed, "doc_id long, path string, mtime long")
-    names = names.repartition(max(1, -(-len(listed) // files_per_task)), "path") if listed else names
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_files(names: DataFrame, root: str) -> DataFrame:
+    """The documents of the files that `names` (path, mtime) lists, relative to root; binary
+    files and ones that can't be read have a null text, so that they aren't tried again
+    until they change.  Malformed UTF-8 becomes U+FFFD.  root must be mounted at every
+    executor; tables that Spark reads itself come by `from_table`."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = []
-            for p in batch["path"]:
+            for k, p in enumerate(batch.column(0).to_pylist()):  # one file at a time: memory is that of the largest
                 try:
                     with open(f"{root}/{p}", "rb") as f:
-                        contents.append(f.read())
+                        content = f.read()
                 except OSError:
-                    contents.append(None)
-            yield batch.assign(content=contents)
+                    content = None
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([content], pa.binary())], names=["path", "mtime", "content"])
 
-    files = names.mapInPandas(read, "doc_id long, path string, mtime long, content binary").where("content is not null")
+    files = names.select("path", "mtime").mapInArrow(read, "path string, mtime long, content binary")
     ext = extension(F.col("path"))
-    return files.where(is_text(F.col("content"), ext)).select("doc_id", "path", ext.alias("ext"), F.expr("make_valid_utf8(cast(content as string))").alias("text"), "mtime")
+    text = F.when(is_text(F.col("content"), ext), F.expr("make_valid_utf8(cast(content as string))"))
+    return files.select("path", ext.alias("ext"), text.alias("text"), "mtime")
+
+
+def from_directory(spark: SparkSession, root: str, no_ignore: bool = False, skip: tuple[str, ...] = (), with_binary: bool = False) -> DataFrame:
+    """The text files below root as documents; with_binary also the others, without text.
+    Ids are hashes of the paths, so they need no order."""
+    found = read_files(listing(spark, root, no_ignore, skip), root)
+    docs = found.select(F.shiftrightunsigned(F.xxhash64("path"), 1).alias("doc_id"), *COLUMNS[1:])
+    return docs if with_binary else docs.where("text is not null")
 
 
 def lines(docs: DataFrame, *extra: str) -> DataFrame:

@@ -12,30 +12,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.index import Index
-from ..plans.maintain import compact, update
+from ..plans.index import ConcurrentUpdate
+from ..plans.maintain import compact, update_folder
 
 DEBOUNCE_SECONDS = 3
 COMPACT_EVERY = 20
 
 
 class Updater:
-    """Applies the corpus's state to the index in a folder, and compacts it now and then."""
+    """Applies the corpus's state to the index in a folder, and compacts it now and then.
 
-    def __init__(self, spark: SparkSession, path: str, corpus: Callable[[], DataFrame], compact_every: int = COMPACT_EVERY):
-        self.spark, self.path, self.corpus, self.compact_every = spark, path, corpus, compact_every
+    With `read`, the corpus may be a listing (path, mtime): only what changed is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, corpus: Callable[[], DataFrame], compact_every: int = COMPACT_EVERY, read: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.path, self.corpus, self.compact_every, self.read = spark, path, corpus, compact_every, read
 
     def apply(self, _batch: DataFrame | None = None, _number: int = 0) -> None:
-        index, stats = update(Index(self.spark, self.path), self.corpus())
-        if stats.added + stats.modified + stats.deleted and index.meta.updates >= self.compact_every:
-            compact(index)
+        try:
+            index, stats = update_folder(self.corpus(), self.path, self.read)
+            if stats.added + stats.modified + stats.deleted and index.meta.updates >= self.compact_every:
+                compact(index)
+        except ConcurrentUpdate:
+            pass  # somebody else's commit came first: the next tick starts from it
 
 
-def watch(spark: SparkSession, path: str, corpus: Callable[[], DataFrame], checkpoint: str, seconds: float = DEBOUNCE_SECONDS, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+def watch(spark: SparkSession, path: str, corpus: Callable[[], DataFrame], checkpoint: str, seconds: float = DEBOUNCE_SECONDS, compact_every: int = COMPACT_EVERY, read: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Starts the updater. The query's isActive, processAllAvailable and stop are what a
     daemon's status, flush and stop would be; changes made while it was down are found by
     its first batch."""
-    updater = Updater(spark, path, corpus, compact_every)
+    updater = Updater(spark, path, corpus, compact_every, read)
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(updater.apply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 

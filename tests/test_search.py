@@ -1,6 +1,12 @@
 """The search engine: dialect, planning, modes, index and upkeep."""
 
+import os
+import random
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -9,6 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from siftwell import catalog
 from siftwell.functions import fold as folding
+from siftwell.functions.linear import program
 from siftwell.functions.predicates import KNOWN_TEXT, below, extension, glob_regex, is_binary, is_hidden, passes_globs
 from siftwell.functions.regex_ast import PatternError, parse
 from siftwell.functions.translate import to_java
@@ -19,8 +26,8 @@ from siftwell.operators.render import render, resolve_format, sorted_output
 from siftwell.operators.search import PathFilter, Pattern, Search
 from siftwell.plans import index as ix
 from siftwell.plans import indexed, maintain
-from siftwell.sources.corpus import from_directory, from_table, lines
-from siftwell.sources.ignore import walk_files
+from siftwell.sources.corpus import from_directory, from_table, lines, listing, read_files
+from siftwell.sources.ignore import walk, walk_files
 from siftwell.streaming.watch import Updater, watch
 
 
@@ -216,6 +223,145 @@ def test_directory_corpus(spark, tmp_path):
     assert found(hidden=False) == {"a.py", "sub/b.txt", "keep.log", "_u.txt", "bad.txt"}
     assert found(types=("py",)) == {"a.py"}
     assert "c.log" in {p for p, _, _ in walk_files(str(tmp_path), no_ignore=True)}
+    assert {r.path for r in walk(spark, str(tmp_path), spread=1).collect()} == {p for p, _, _ in walk_files(str(tmp_path))}
+
+
+def test_ignore_rules_from_above_and_outside(tmp_path, monkeypatch):
+    home = tmp_path / "home"
+    (home / "git").mkdir(parents=True)
+    (home / "git" / "ignore").write_text("*.tmp\n")
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(home))
+    monkeypatch.setenv("HOME", str(home))
+    for name, text in {".git/info/exclude": "private\n", ".gitignore": "*.log\n/sub/deep/x.txt\n", "sub/a.txt": "", "sub/b.log": "", "sub/c.tmp": "", "sub/private/d.txt": "", "sub/deep/x.txt": "", "sub/deep/y.txt": ""}.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    assert {p for p, _, _ in walk_files(str(tmp_path / "r" / "sub"))} == {"a.txt", "deep/y.txt"}
+    assert {p for p, _, _ in walk_files(str(tmp_path / "r"))} == {".gitignore", "sub/a.txt", "sub/deep/y.txt"}
+    assert len(list(walk_files(str(tmp_path / "r" / "sub"), no_ignore=True))) == 6
+
+
+def test_update_reads_only_what_changed(spark, tmp_path):
+    root, path, opened = tmp_path / "files", str(tmp_path / "i"), []
+    root.mkdir()
+    for k in range(20):
+        (root / f"{k}.txt").write_text(f"hello {k}")
+    (root / "bin").write_bytes(b"\0\0")
+
+    def read(names):
+        opened.append(sorted(r.path for r in names.collect()))
+        return read_files(names, str(root))
+
+    ix.build(from_directory(spark, str(root), with_binary=True), path)
+    (root / "3.txt").write_text("goodbye")
+    os.utime(root / "3.txt", (1, 1000))
+    (root / "4.txt").unlink()
+    (root / "new.txt").write_text("hello new")
+    index, stats = maintain.update_folder(listing(spark, str(root)), path, read)
+    assert (stats.added, stats.modified, stats.deleted) == (1, 1, 1) and opened == [["3.txt", "new.txt"]]
+    assert indexed.search_index(index, Search(Pattern("hello"))).count() == 19
+    again, stats = maintain.update_folder(listing(spark, str(root)), path, read)
+    assert stats.added + stats.modified + stats.deleted == 0 and len(opened) == 1
+
+
+def test_update_loses_nothing(spark, tmp_path):
+    rows = spark.range(5000, numPartitions=3).select("id", F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("some text "), "id").alias("text"))
+    docs = from_table(rows, "id", "text", F.col("path"), mtime=F.lit(1))
+    index = ix.build(docs.where("doc_id < 20"), str(tmp_path / "i"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        index, stats = maintain.update(index, docs.repartition(16, "path"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    live = index.table("docs")
+    assert stats.added == 4980 and stats.docs == live.count() == live.select("doc_id").distinct().count() == live.select("path").distinct().count() == 5000
+    assert live.agg(F.max("doc_id")).first()[0] == 4999 == index.meta.ids
+    assert indexed.search_index(index, Search(Pattern("text 4321$"))).count() == 1
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    docs = corpus(spark, {"a": "hello", "b": "x"})
+    first = ix.build(docs, str(tmp_path / "i"))
+    maintain.update(first, corpus(spark, {"a": "hello", "b": "x", "c": "hello"}))
+    for late in (lambda: maintain.update(first, corpus(spark, {"d": "hello"})), lambda: maintain.compact(first)):
+        with pytest.raises(ix.ConcurrentUpdate):
+            late()
+    index = ix.Index(spark, str(tmp_path / "i"))
+    assert {r.path for r in index.table("docs").collect()} == {"a", "b", "c"} and len([n for n in index.folder.names() if n.startswith(("v-", "d-"))]) == 2
+
+
+LOOPS = ["(a|b)*c", "(foo|ba)+x", r"(\w+\s?)+$", "(ab|a)*?b", "((a|aa)+b?)+$", r"(é|ab)*\bx", "(?i)(FO|ba)+X", "^(?:ab|cd)*$", "(a+b)*c"]
+
+
+@pytest.mark.parametrize("text", LOOPS)
+def test_repeated_groups_end_in_time(spark, monkeypatch, text):
+    """Long lines in bounded time, and the linear matcher's answers equal the JVM's."""
+    long = {"a" * 1_000_000: "a", "ab" * 400_000 + "c": "b", "foo" * 300_000 + "x": "c", "word " * 200_000: "d", "cd" * 5000 + "!": "e"}
+    docs = corpus(spark, {p: t for t, p in long.items()})
+    got = {r.path for r in Search(Pattern(text)).matching(docs).collect()}
+    assert got == {p for t, p in long.items() if program(parse(text)).matches(t)}
+    rng, tree = random.Random(text), parse(text)
+    lines_ = ["".join(rng.choice("abcdfoxé AB1") for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    small = spark.createDataFrame([(t,) for t in lines_], "line string")
+    rows = small.select("line", F.col("line").rlike(to_java(tree)).alias("hit"), F.regexp_extract_all("line", F.lit(f"({to_java(tree)})"), F.lit(1)).alias("all")).collect()
+    for r in rows:
+        assert program(tree).matches(r.line) == r.hit, r.line
+        assert [x for x in (r.line[a:b] for a, b in program(tree).spans(r.line)) if x] == [x for x in r.all if x], r.line
+
+
+def generated(rng, depth):
+    if depth == 0 or rng.random() < 0.3:
+        return rng.choice(["a", "b", "ab", "c", ".", "[ab]", "[^a]", r"\d", "1", r"\w", "(?i:B)", r"\b", "é"])
+    kind = rng.randrange(4)
+    x, y = generated(rng, depth - 1), generated(rng, depth - 1)
+    if kind == 0:
+        return x + y
+    if kind == 1:
+        return f"({x}|{y})"
+    if kind == 2:
+        return f"({x}){rng.choice(['*', '+', '?', '{2}', '{1,3}', '*?'])}{y}"
+    return f"(?:{x}{y})"
+
+
+def test_generated_patterns_against_another_engine(spark):
+    """Some 500 patterns: ours, in the JVM and in linear time, against DuckDB's RE2."""
+    rng, db = random.Random(5), duckdb.connect()
+    texts = ["".join(rng.choice("aabbc1B ") for _ in range(rng.randrange(0, 12))) for _ in range(60)] + ["", "ab", "aB1", "bbb", "abab"]
+    patterns = sorted({generated(rng, rng.randrange(1, 4)) for _ in range(900)})[:500]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1)
+    db.execute("create table t(line varchar)")
+    db.executemany("insert into t values (?)", [(t,) for t in texts])
+    for k in range(0, len(patterns), 50):
+        part = patterns[k : k + 50]
+        ours = df.select("line", *[F.col("line").rlike(to_java(parse(p))).alias(f"c{i}") for i, p in enumerate(part)]).collect()
+        theirs = {r[0]: r[1:] for r in db.execute("select line, " + ", ".join(f"regexp_matches(line, '{p}')" for p in part) + " from t").fetchall()}
+        for r in ours:
+            assert tuple(r)[1:] == theirs[r.line], [(p, a, b) for p, a, b in zip(part, tuple(r)[1:], theirs[r.line]) if a != b]
+        for p in part:
+            machine = program(parse(p))
+            assert [machine.matches(t) for t in texts] == [theirs[t][part.index(p)] for t in texts], p
+    sample = patterns[::25]
+    docs = corpus(spark, {str(k): t for k, t in enumerate(texts)})
+    return sample, docs
+
+
+def test_indexed_never_misses(spark, tmp_path):
+    sample, docs = test_generated_patterns_against_another_engine(spark)
+    index = ix.build(docs, str(tmp_path / "i"), ci=True)
+    for p in sample:
+        rows = lambda df: sorted((r.path, r.line_number) for r in df.collect())
+        assert rows(indexed.search_index(index, Search(Pattern(p)))) == rows(Search(Pattern(p)).run(docs)), p
+
+
+def test_works_without_the_llm_subpackage(tmp_path):
+    """On a copy without the llm folders, all else imports and runs."""
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'indexed_regex' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
 
 
 def test_streaming_updates(spark, tmp_path):
