@@ -47,7 +47,7 @@ def highlighted(line: Column, pattern: Pattern) -> Column:
             at = b
         return "".join(out) + text[at:]
 
-    return pattern.split(line, F.regexp_replace(line, F.lit(f"({pattern.java})"), F.lit(f"{MATCH}$1{RESET}")), "string", colour)
+    return pattern.split(line, F.regexp_replace(line, F.lit(f"({pattern.java})"), F.lit(f"{MATCH}$1{RESET}")), "string", colour)[0]
 
 
 def render(found: DataFrame, form: str = "grep", trim: bool = False, pattern: Pattern | None = None, root: str = "") -> DataFrame:

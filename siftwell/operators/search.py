@@ -4,10 +4,10 @@ A pattern is planned once, on the driver, into JVM predicates: `contains` where
 pattern is plain text, an OR of them for an alternation of texts, and otherwise a
 required text (if there is one) before the regular expression.  All matching is by line.
 
-The JVM's regular expressions backtrack, and enter repeated groups recursively: a long
-text would exhaust a task's stack.  Where a pattern repeats more than single characters,
-texts above SHORT characters (all, if such repetitions are nested) go to a matcher in
-linear time, in Arrow batches; others stay null there.
+The JVM's regular expressions backtrack, and enter repeated groups recursively: long texts
+would take very long or exhaust a task's stack.  So patterns are graded by risk, and texts
+above what is SAFE for a grade go to a matcher in linear time, in Arrow batches; others
+stay null there.
 """
 
 from __future__ import annotations
@@ -15,21 +15,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex_ast
 from ..functions.arrays import let, running
-from ..functions.linear import loops, program
+from ..functions.linear import can_be_empty, program, risk
 from ..functions.predicates import below, is_hidden, passes_globs, passes_types
 from ..functions.translate import simplified, to_java
 from ..functions.trigrams import required_literal, trigram_query
 from ..sources.corpus import lines, shown
 
 
-#: Characters up to which a repeated group is matched in the JVM.
-SHORT = 512
+#: Characters up to which a text is matched in the JVM, by the pattern's risk; None: all.
+SAFE = {0: None, 1: 16_384, 2: 512, 3: 0}
 
 
 @dataclass(frozen=True)
@@ -68,29 +68,34 @@ class Pattern:
             for t in texts[1:]:
                 out = out | F.contains(line, F.lit(t))
             return out
-        found = self.split(line, line.rlike(to_java(tree)), "boolean", lambda p, t: p.matches(t))
+        in_jvm = line.rlike(to_java(tree))
+        found, long = self.split(line, in_jvm, "boolean", lambda p, t: p.matches(t))
+        if long is not None:  # stated first, so that what the JVM rules out isn't sent to Python
+            found = (long | in_jvm) & found
         needed = None if self.folded else required_literal(tree)
         return F.contains(line, F.lit(needed)) & found if needed else found
 
 
-    def split(self, text: Column, in_jvm: Column | None, kind: str, run: Callable, flags: str = "") -> Column:
-        """in_jvm (if there is such a way) where the pattern can be matched there safely, else
-        run(program, text); flags hold in the program."""
+    def split(self, text: Column, in_jvm: Column | None, kind: str, run: Callable, flags: str = "") -> tuple[Column, Column | None]:
+        """in_jvm where the JVM matches the pattern safely, and run(program, text) elsewhere:
+        (in_jvm, None) if that is nowhere, else both together and whether a text is for
+        the program.  Without in_jvm all texts are; flags hold in the program."""
         tree = simplified(regex_ast.parse(f"(?{flags}){self.text}", self.ignore_case, self.unicode) if flags else self.tree)
-        depth = loops(tree) if in_jvm is not None else 2
-        if not depth:
-            return in_jvm
+        most = SAFE[3 if in_jvm is None else risk(tree)]
+        if most is None:
+            return in_jvm, None
 
-        def compute(texts: pd.Series) -> pd.Series:
+        def compute(texts: pa.Array) -> pa.Array:
             p = program(tree)
-            return pd.Series([None if t is None else run(p, t) for t in texts], dtype=object)
+            return pa.array([None if t is None else run(p, t) for t in texts.to_pylist()], arrow)
 
-        compute.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        by_line = F.pandas_udf(compute, kind)
-        if depth > 1:
-            return by_line(text)
-        long = F.length(text) > SHORT
-        return F.when(long, by_line(F.when(long, text))).otherwise(in_jvm)
+        arrow = {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}[kind]
+        compute.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        linear = F.arrow_udf(compute, kind)
+        if not most:
+            return linear(text), F.lit(True)
+        long = F.length(text) > most
+        return F.when(long, linear(F.when(long, text))).otherwise(in_jvm), long
 
 
 @dataclass(frozen=True)
@@ -155,12 +160,12 @@ def display(found: DataFrame) -> DataFrame:
 def match_starts(docs: DataFrame, pattern: Pattern) -> DataFrame:
     """Lines in which a match over the whole text begins, each once: texts are split at
     the matches, and line feeds are counted before each."""
-    if _can_be_empty(pattern.tree):
+    if can_be_empty(pattern.tree):
         raise regex_ast.PatternError("a multiline pattern must not match the empty text")
     java = "(?m)" + pattern.java
     whole = docs.where("text is not null").select("doc_id", "path", "text")
-    if loops(simplified(pattern.tree)):
-        starts = whole.select("*", pattern.split(F.col("text"), None, "array<int>", _start_lines, "m").alias("starts"))
+    if risk(simplified(pattern.tree)):
+        starts = whole.select("*", pattern.split(F.col("text"), None, "array<int>", _start_lines, "m")[0].alias("starts"))
     else:
         feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
         gaps, hits = F.split("text", java, -1), F.regexp_extract_all("text", F.lit(java), F.lit(0))
@@ -183,29 +188,15 @@ def _start_lines(p, text: str) -> list[int]:
     return out
 
 
-def _can_be_empty(node) -> bool:
-    if isinstance(node, (regex_ast.Lit, regex_ast.Dot, regex_ast.Class)):
-        return False
-    if isinstance(node, regex_ast.Repeat):
-        return node.low == 0 or _can_be_empty(node.node)
-    if isinstance(node, regex_ast.Group):
-        return _can_be_empty(node.node)
-    if isinstance(node, regex_ast.Alt):
-        return any(map(_can_be_empty, node.nodes))
-    if isinstance(node, regex_ast.Concat):
-        return all(map(_can_be_empty, node.nodes))
-    return True
-
-
 def only_matching(found: DataFrame, pattern: Pattern) -> DataFrame:
     """A row per match in the lines found: doc_id, path, line_number, nth, match.
 
     An empty match right at the end of the match before it doesn't count.
     """
     java = f"((?>{pattern.java}))"
-    if _can_be_empty(pattern.tree):
+    if can_be_empty(pattern.tree):
         java += r"(?!(?<=[\s\S])\G)"  # not empty where the last match ended
-    hits = pattern.split(F.col("line"), F.regexp_extract_all("line", F.lit(java), F.lit(1)), "array<string>", lambda p, t: [t[a:b] for a, b in p.spans(t)])
+    hits = pattern.split(F.col("line"), F.regexp_extract_all("line", F.lit(java), F.lit(1)), "array<string>", lambda p, t: [t[a:b] for a, b in p.spans(t)])[0]
     out = found.select("doc_id", "path", "line_number", F.posexplode(hits).alias("at", "match"))
     return out.select("doc_id", "path", "line_number", (F.col("at") + 1).cast("long").alias("nth"), "match")
 
@@ -229,5 +220,5 @@ def exists(found: DataFrame) -> DataFrame:
 
 def count_occurrences(found: DataFrame, pattern: Pattern) -> DataFrame:
     """Matches (not lines) per path."""
-    n = pattern.split(F.col("line"), F.regexp_count("line", F.lit(pattern.java)), "int", lambda p, t: len(p.spans(t)))
+    n = pattern.split(F.col("line"), F.regexp_count("line", F.lit(pattern.java)), "int", lambda p, t: len(p.spans(t)))[0]
     return found.select("path", n.alias("n")).groupBy("path").agg(F.sum("n").cast("long").alias("n"))

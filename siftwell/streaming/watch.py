@@ -38,9 +38,9 @@ class Updater:
 
 
 def watch(spark: SparkSession, path: str, corpus: Callable[[], DataFrame], checkpoint: str, seconds: float = DEBOUNCE_SECONDS, compact_every: int = COMPACT_EVERY, read: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Starts the updater. The query's isActive, processAllAvailable and stop are what a
-    daemon's status, flush and stop would be; changes made while it was down are found by
-    its first batch."""
+    """Starts the updater. The query's status and stop are what a daemon's would be, and
+    `flush` is its flush (ticks never end, so processAllAvailable may not return); changes
+    made while it was down are found by its first batch."""
     updater = Updater(spark, path, corpus, compact_every, read)
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(updater.apply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
