@@ -1,19 +1,17 @@
 """Byte-pair merging of many short sequences at once.
 
 Sequences live in one flat symbol array with row starts.  In each round every
-sequence applies its own lowest-ranked pair, the leftmost one on ties; all sequences
-step together, and those without a mergeable pair leave the arrays.
+sequence applies its own lowest-ranked pair, at all of its places unless a pair of lower
+rank would come between them; all sequences step together, and those without a mergeable
+pair leave the arrays.  So rounds are as many as a sequence's different merges, however
+long it is.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 _NONE = np.int64(1) << 62
-#: Longer sequences take a heap: rounds cost their whole length each.
-LONG = 192
 
 
 class PairTable:
@@ -36,7 +34,6 @@ class PairTable:
             todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & (size - 1)
             self.probes += 1
-        self.one = {int(k): (int(r), int(m)) for k, r, m in zip(key, rank, merged, strict=True)}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -60,49 +57,40 @@ class PairTable:
         return rank, merged
 
 
-def merge_heap(symbols: list[int], table: PairTable) -> list[int]:
-    """The same merges for one long sequence, in O(n log n)."""
-    n, one = len(symbols), table.one
-    sym, prev, nxt = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = []
-
-    def push(i: int) -> None:
-        j = nxt[i]
-        if j >= 0 and (hit := one.get((sym[i] << 32) | sym[j])):
-            heapq.heappush(heap, (hit[0], i, sym[i], sym[j], hit[1]))
-
-    for i in range(n):
-        push(i)
-    while heap:
-        _, i, a, b, made = heapq.heappop(heap)
-        j = nxt[i]
-        if sym[i] != a or j < 0 or sym[j] != b:
-            continue
-        sym[i], sym[j], nxt[i] = made, -1, nxt[j]
-        if nxt[i] >= 0:
-            prev[nxt[i]] = i
-        if prev[i] >= 0:
-            push(prev[i])
-        push(i)
-    return [x for x in sym if x >= 0]
+def _chosen(rank: np.ndarray, low: np.ndarray, size: np.ndarray, s: np.ndarray, made: np.ndarray, table: PairTable) -> np.ndarray:
+    """Where pairs merge in this round: in each sequence all places of its lowest rank, every
+    second one of those that adjoin, or only the leftmost one where a merged symbol would
+    make a pair of a lower rank, which must come first."""
+    hit = np.flatnonzero(rank == np.repeat(low, size))
+    run = np.concatenate(([True], hit[1:] != hit[:-1] + 1))  # neighbouring places overlap
+    first = np.flatnonzero(run)
+    hit = hit[(np.arange(len(hit)) - np.repeat(first, np.diff(np.concatenate((first, [len(hit)]))))) % 2 == 0]
+    row = np.repeat(np.arange(len(size)), size)
+    of = row[hit]
+    lead = np.concatenate(([True], of[1:] != of[:-1]))
+    if lead.all():
+        return hit
+    # the pairs that a merged symbol makes with what is beside it, before the next place merges and after
+    after = np.concatenate((hit[1:] == hit[:-1] + 2, [False])) & np.concatenate((of[1:] == of[:-1], [False]))
+    begin = np.cumsum(size) - size
+    last = begin[of] + size[of] - 1
+    right = np.flatnonzero(hit + 2 <= last)
+    both = np.flatnonzero(after)
+    left = np.flatnonzero((hit > begin[of]) & ~np.concatenate(([False], after[:-1])))
+    lower = np.zeros(len(size), bool)
+    for a, b, seq in ((made[hit[right]], s[hit[right] + 2], of[right]), (made[hit[both]], made[hit[both] + 2], of[both]), (s[hit[left] - 1], made[hit[left]], of[left])):
+        lower[seq[table.find(a, b)[0] < low[seq]]] = True
+    return hit[lead | ~lower[of]]
 
 
 def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merged symbols, flat, in the sequences' order, and the length of each sequence."""
     rows = len(lengths)
-    starts = np.zeros(rows + 1, np.int64)
-    np.cumsum(lengths, out=starts[1:])
     out_len = np.zeros(rows, np.int64)
     done: list[tuple[np.ndarray, np.ndarray]] = []  # (row of each symbol, symbol)
-    short = (lengths <= LONG) & (lengths > 0)
-    for r in np.flatnonzero(lengths > LONG):
-        got = merge_heap(symbols[starts[r] : starts[r + 1]].tolist(), table)
-        out_len[r] = len(got)
-        done.append((np.full(len(got), r), np.array(got, np.int64)))
-    row = np.repeat(np.arange(rows), lengths)
-    take = short[row]
-    s, q = symbols[take].astype(np.int64), row[take]
-    alive, size = np.flatnonzero(short), lengths[short]
+    s, q = symbols.astype(np.int64), np.repeat(np.arange(rows), lengths)
+    alive = np.flatnonzero(lengths > 0)
+    size = lengths[alive].astype(np.int64)
     rank, made = np.full(len(s), _NONE), np.zeros(len(s), np.int64)
     inner = np.flatnonzero(q[:-1] == q[1:]) if len(s) else np.zeros(0, np.int64)
     rank[inner], made[inner] = table.find(s[inner], s[inner + 1])
@@ -118,22 +106,19 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
             alive, size, low = alive[going], size[going], low[going]
             if not len(alive):
                 break
-            first = np.cumsum(size) - size
-        hits = np.flatnonzero(rank == np.repeat(low, size))  # the leftmost of each sequence
-        of = q[hits]
-        hits = hits[np.concatenate(([True], of[1:] != of[:-1]))]
+        hits = _chosen(rank, low, size, s, made, table)
+        merged = np.bincount(np.repeat(np.arange(len(size)), size)[hits], minlength=len(size))
         s[hits] = made[hits]
         keep = np.ones(len(s), bool)
         keep[hits + 1] = False
         s, q, rank, made = s[keep], q[keep], rank[keep], made[keep]
         at = hits - np.arange(len(hits))
-        size = size - 1
-        first = np.cumsum(size) - size
-        last = first + size - 1
+        size = size - merged
         rank[at] = _NONE
-        right = at[at < last]
-        left = at[at > first] - 1
-        changed = np.concatenate((left, right))
+        changed = np.concatenate((at, at[at > 0] - 1))
+        changed = changed[changed < len(s) - 1]
+        beside = q[changed] == q[changed + 1]
+        changed = changed[beside]
         rank[changed], made[changed] = table.find(s[changed], s[changed + 1])
     if not done:
         return np.zeros(0, np.int64), out_len

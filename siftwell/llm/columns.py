@@ -11,16 +11,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that a kernel sees at once; a single longer text comes alone.
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch at most: batches of whole texts are held several times over.
-BATCH_ROWS = 2000
-_TEXT = "__text"
+
+
+def column(name: str) -> Column:
+    """The column of that very name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -41,37 +43,31 @@ def sliced(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
     """Cuts a batch between rows so that a slice holds about `most` bytes of text."""
     if not batch.num_rows:
         return
-    column = batch.column(text)
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    group = (at[1:] - at[0]) // most
+    _, at = flat(batch.column(text))
+    group = at[1:] // most
     edges = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if they are more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel: Callable[[], Callable], keep: Sequence[str] | None = None, where: Callable | None = None, only_filter: bool = False) -> DataFrame:
     """`keep` (default: all columns) plus `added`, computed from `text_col`.
 
     `kernel()` runs once in each task and returns a function from a pyarrow string
     array to one array (or list) for each added field.  `where`, given the same
     arrays, may return a mask of the rows to keep; with only_filter that is all, and no
-    column is added.  A kept column with the name of an added one gives way to it.
+    column is added.  A kept column with the name of an added one, in any case, gives way
+    to it; names may hold dots and anything else.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if only_filter or c not in added.names]
-    kept = [F.col(f"`{c}`") for c in names]
+    taken = set() if only_filter else {n.lower() for n in added.names}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    kept = [column(c).alias(f"c{i}") for i, c in enumerate(names)]  # places stand for names until the end
     if text_col in names and docs.schema[text_col].dataType == T.StringType():  # one copy of the texts is enough
         at, source = names.index(text_col), docs.select(kept)
     else:
-        at, source = len(names), docs.select(*kept, F.col(f"`{text_col}`").cast("string").alias(_TEXT))
-    out = T.StructType([*source.schema.fields[: len(names)], *([] if only_filter else added.fields)])
-    small_batches(docs.sparkSession)
+        at, source = len(names), docs.select(*kept, column(text_col).cast("string").alias(f"c{len(names)}"))
+    fields = [] if only_filter else [T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added.fields)]
+    out = T.StructType([*source.schema.fields[: len(names)], *fields])
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches):
@@ -82,4 +78,4 @@ def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel:
                 rows = pa.RecordBatch.from_arrays([*part.columns[: len(names)], *([] if only_filter else made)], names=out.names)
                 yield rows if where is None else rows.filter(pa.array(where(made)))
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out).toDF(*names, *([] if only_filter else added.names))

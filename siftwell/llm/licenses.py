@@ -7,9 +7,12 @@ words; it runs once over a text's words joined by single spaces, so a phrase's p
 are the places where its words stand consecutively.
 
 A tag (`SPDX-License-Identifier: MIT OR Apache-2.0 WITH LLVM-exception`, or
-`License: ...`) is read from the raw text and its expression is turned into postfix
-order.  `or` offers the freer side, `and` binds to the stricter one, `with` keeps its
-left side and frees it somewhat.
+`License: ...`) is read from the raw text at the place that the automaton found, and its
+expression is turned into postfix order.  A slash between identifiers counts as `or`.  `or` offers the freer side, `and` binds to the stricter one, `with` keeps its
+left side and frees it somewhat; an identifier of no known family is its own label.
+
+Of notice phrases that lie in one another the longest is what the text states (`lesser
+general public license` is lgpl); base phrases always keep their labels.
 
 score is how freely the licences found let the text be used: the least over all
 statements of the freedom of each (1 permissive to 0.1 non-commercial), 0 where nothing
@@ -68,10 +71,13 @@ UNKNOWN_FREEDOM = 0.3
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Words that open a tag; they only lead to the raw text, where _HEAD decides.
 _TAG_WORDS = ("spdx license identifier", "license", "licence")
-_HEAD = re.compile(r"(?i)(?:spdx-license-identifier|\blicen[sc]e)[ \t]*[:=][ \t]*[\"']?")
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_HEAD = re.compile(rb"(?i)(?:spdx-license-identifier|licen[sc]e)[ \t]*[:=][ \t]*[\"']?")
+_WORD = re.compile(rb"[^ ]+")
+#: A slash between identifiers offers both, as an `or`.
+_TOKEN = re.compile(r"\(|\)|/|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: A token, or what ends a tag's expression whatever comes before it.
 _NEXT = re.compile(_TOKEN.pattern + r"|[\"'\n\r]")
+_NEXT_BYTES = re.compile(_NEXT.pattern.encode())
 _ORDER = {"or": 1, "and": 2, "with": 3}
 
 
@@ -87,7 +93,7 @@ def postfix(expression: str) -> list[str] | None:
     stack: list[str] = []
     operand = True  # whether one must come next
     for token in _TOKEN.findall(expression):
-        low = token.lower()
+        low = "or" if token == "/" else token.lower()
         if token == "(":
             if not operand:
                 return None
@@ -121,9 +127,8 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     """Labels that the expression names, and its freedom."""
     order = postfix(expression)
     if order is None:
-        names = {family(t) for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _ORDER}
-        names &= set(FREEDOM)
-        return names, min((FREEDOM[x] for x in names), default=0.0)
+        names = {family(t) for t in _TOKEN.findall(expression) if t not in "()/" and t.lower() not in _ORDER}
+        return names, min((FREEDOM.get(x, UNKNOWN_FREEDOM) for x in names), default=0.0)
     stack: list[tuple[set[str], float]] = []
     for token in order:
         if token not in _ORDER:
@@ -140,18 +145,23 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     return stack[0]
 
 
-def tag_expressions(text: str) -> list[str]:
-    """What stands after each identifier tag, up to a word that can't go on an expression, a
-    quote, the line's end or the next tag."""
-    found = []
-    heads = list(_HEAD.finditer(text))
+def is_operator(token: str) -> bool:
+    return token == "/" or token.lower() in _ORDER
+
+
+def tag_expressions(text: bytes, places: list[int]) -> list[str]:
+    """What stands after the identifier tag at each place (bytes; where tag words begin), up to
+    a word that can't go on an expression, a quote, the line's end or the next tag."""
+    heads = [m for p in places if (m := _HEAD.match(text, p))]
     ends = [h.start() for h in heads[1:]] + [len(text)] * bool(heads)
-    for m, end in zip(heads, ends, strict=True):
+    found = []
+    for head, end in zip(heads, ends, strict=True):
         kept: list[str] = []
-        for token in map(re.Match.group, _NEXT.finditer(text, m.end(), end)):
+        for m in _NEXT_BYTES.finditer(text, head.end(), end):
+            token = m[0].decode()
             if token in "\"'\n\r":
                 break
-            if token in "()" or token.lower() in _ORDER or not kept or kept[-1] == "(" or kept[-1].lower() in _ORDER:
+            if token in "()" or is_operator(token) or not kept or kept[-1] == "(" or is_operator(kept[-1]):
                 kept.append(token)
             else:
                 break
@@ -170,24 +180,42 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
+def longest(hits: list[tuple[int, int, str]]) -> set[str]:
+    """Labels of the hits (start, end, label) that lie in no longer one."""
+    out, reach = set(), -1
+    for start, end, label in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if end > reach:
+            out.add(label)
+        reach = max(reach, end)
+    return out
+
+
 def scan(text: bytes, finder: ahocorasick.Automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
-    words = text.translate(_PLAIN).split()
+    plain = text.translate(_PLAIN)  # byte for byte, so that places are those of the text
+    words = plain.split()
     joined = f" {b' '.join(words).decode('latin-1')} "
-    starts, base, labels, freedom, tagged = [], set(), set(), [], False
+    starts, base, notices, tags = [], set(), [], []
     for end, (size, label, is_base) in finder.iter(joined):
+        start = end + 1 - size
         if not label:
-            tagged = True
+            tags.append(start)
             continue
-        labels.add(label)
-        freedom.append(FREEDOM[label])
+        notices.append((start, end, label))
         if is_base:
             base.add(label)
-            starts.append(end + 1 - size)
-    if tagged:
-        for expression in tag_expressions(text.decode()):
+            starts.append(start)
+    stated = longest(notices)
+    labels, freedom = base | stated, [FREEDOM[x] for x in stated]
+    if tags:
+        where = [m.start() for m in _WORD.finditer(plain)]  # the words' places in the text
+        nth, at, places = 0, 0, []
+        for t in sorted(tags):
+            nth, at = nth + joined.count(" ", at, t), t
+            places.append(where[nth])
+        for expression in tag_expressions(text, places):
             names, free = evaluate(expression)
-            if names & set(FREEDOM):
+            if names:
                 labels |= names
                 freedom.append(free)
     at = [joined.count(" ", 0, p) for p in (min(starts), max(starts))] if starts else [None, None]
