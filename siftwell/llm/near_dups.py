@@ -11,12 +11,13 @@ Documents of equal sets form a class, and only classes are compared.  Half-keys
 class alone has are dropped first, as no table key made of them can be shared.  In each
 table bucket, members are checked against one hub, the one whose half-keys are the most
 common, which all buckets choose alike; links are confirmed on the full sets.  Buckets
-whose members are then all in one component are done.  Of the others, small ones check
-the pairs between components.  Large ones that share members form a cluster.  Members
-with so many shingles of their own that no other set can be similar are peeled off; the
-rest of a cluster is dealt into blocks of bounded size, each pair of blocks counts its
-common shingles in memory, and only links that join components leave it.  The bounds are
-exact, and nothing is capped.
+whose members are then all in one component are done.  The members of the others are
+joined exactly, whatever the size of their buckets: members with so many shingles of their
+own that no other set can be similar are peeled off, and of the rest two can only be
+similar if they share one of their rarest shingles (of each set as many as it may lack).
+Members that such shingles connect form a cluster; it is dealt into blocks of bounded
+size, each pair of blocks counts its common shingles in memory, and only links that join
+components leave it.  The bounds are exact, and nothing is capped.
 
 Defined results: null and empty texts and texts of white space have no shingles and are
 linked with nothing; a text of fewer than five words is one shingle; rows with a null
@@ -45,7 +46,6 @@ SHINGLE = 5
 HALF_KEYS = 8  # of each of the two collections, at least
 MISS = 1e-4
 PER_KEY = 2  # minhashes in a half-key
-SMALL_BUCKET = 16
 #: Turns of counting own shingles; more of them only save time.
 PEELINGS = 3
 #: Shingles of a block (8 bytes each); two blocks are compared in one task.
@@ -126,17 +126,18 @@ def _fingerprint_kernel(m: int):
 _FINGERPRINT = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def buckets_of(classes: DataFrame, m: int) -> DataFrame:
+def buckets_of(classes: DataFrame, m: int, stages: Stages) -> DataFrame:
     """(bucket, n, c): the classes of each table bucket that holds n > 1 of them; keys that
     can't be shared are never made.  c is the class with its document and set size."""
     halves = classes.select(F.struct("class", "doc_id", "size").alias("c"), F.posexplode("keys").alias("k", "half"))
-    shared = halves.groupBy("k", "half").agg(F.count("*").alias("n")).where("n > 1")
+    # what is joined next is written first, so that a hot key's side can be split
+    shared = stages.write(halves.groupBy("k", "half").agg(F.count("*").alias("n")).where("n > 1"))
     kept = halves.join(shared, ["k", "half"]).groupBy("c").agg(F.collect_list(F.struct("k", "half")).alias("halves"), F.sum("n").alias("common"))
     first = F.filter("halves", lambda x: x["k"] < m)
     second = F.filter("halves", lambda x: x["k"] >= m)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["k"], x["half"], y["k"], y["half"]))))
-    rows = kept.select("c", "common", F.explode(tables).alias("bucket"))
-    many = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("common", "c"))["c"].alias("hub")).where("n > 1")
+    rows = stages.write(kept.select("c", "common", F.explode(tables).alias("bucket")))
+    many = stages.write(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("common", "c"))["c"].alias("hub")).where("n > 1"))
     return rows.join(many, "bucket").select("bucket", "n", "c", "hub")
 
 
@@ -279,14 +280,30 @@ def block_links(names: list[bytes], roots: list[bytes], sides: np.ndarray, sets:
     return out
 
 
-def cluster_links(large: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
-    """Links (a, b) across components of the clusters. large: (bucket, c, root)."""
-    low = large.groupBy("bucket").agg(F.min("c.class").alias("low"))
-    clusters = components(large.join(low, "bucket").select(F.col("c.class").alias("a"), F.col("low").alias("b")), stages)
-    members = stages.write(large.select(F.col("c.class").alias("class"), F.col("c.doc_id").alias("doc_id"), F.col("root").alias("of")).distinct())
+def clusters_of(known: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """(class, cluster): members that their rarest shingles connect over components; others
+    can have no link that joins any. known: (class, of, shingles).
+
+    In the order of how many members hold them, each set of n has n - ceil(n * percent / 100)
+    + 1 rarest shingles; of two similar sets, each lacks fewer of the other's, so they share
+    one of these.
+    """
+    each = known.select("class", "of", F.explode("shingles").alias("s"))
+    common = stages.write(each.groupBy("s").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")))
+    order = each.join(common, "s").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "s", (F.col("low") < F.col("high")).alias("mixed")))).alias("all"))
+    may_lack = (F.size("all") - F.ceil(F.size("all") * F.lit(percent) / 100) + 1).cast("int")
+    rare = stages.write(order.select("class", F.explode(F.slice("all", F.lit(1), may_lack)).alias("x")).where("x.mixed").select("class", F.col("x.s").alias("s")))
+    low = stages.write(rare.groupBy("s").agg(F.min("class").alias("low")))
+    roots = components(rare.join(low, "s").select(F.col("class").alias("a"), F.col("low").alias("b")), stages)
+    return roots.select(F.col("node").alias("class"), F.col("root").alias("cluster")).union(roots.select("root", "root")).distinct()
+
+
+def cluster_links(open_: DataFrame, docs: DataFrame, stages: Stages, percent: int) -> DataFrame:
+    """Links (a, b) across components of the members of open buckets. open_: (c, root)."""
+    members = stages.write(open_.select(F.col("c.class").alias("class"), F.col("c.doc_id").alias("doc_id"), F.col("root").alias("of")).distinct())
     sets = unpeeled(members.select("class", "doc_id"), docs, stages, percent)
-    cluster = F.coalesce("root", "class").alias("cluster")
-    known = stages.write(sets.join(members.select("class", "of"), "class").join(clusters, F.col("class") == F.col("node"), "left").select("class", "of", cluster, "shingles"))
+    sets = stages.write(sets.join(members.select("class", "of"), "class").select("class", "of", "shingles"))
+    known = stages.write(sets.join(clusters_of(sets, stages, percent), "class").select("class", "of", "cluster", "shingles"))
     blocks = known.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("blocks"), F.countDistinct("of").alias("roots")).where("roots > 1")
     own = F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int")
     placed = known.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -329,21 +346,18 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     linked = prints.where("doc_id is not null and n_shingles > 0")
     # equal sets have equal keys, so any row's will do
     classes = stages.write(linked.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")))
-    buckets = stages.write(buckets_of(classes, m))
+    buckets = stages.write(buckets_of(classes, m, stages))
 
     inner = buckets.where("c <> hub")
     links = stages.write(confirm(inner.select(F.col("hub").alias("a"), F.col("c").alias("b"), "n"), docs, percent))
     roots = components(links, stages)
+    # every member was compared with the hub; what is left are pairs of the others
     at = inner.join(roots, inner["c.class"] == roots["node"], "left").select("bucket", "c", F.coalesce("root", "c.class").alias("root"))
-    open_ = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "n")
-    rest = stages.write(at.join(open_, "bucket"))
-    small, large = rest.where(f"n <= {SMALL_BUCKET}").alias("x"), rest.where(f"n > {SMALL_BUCKET}")
-    near = small.join(small.alias("y"), F.expr("x.bucket = y.bucket and x.c < y.c and x.root <> y.root")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"))
-    found = confirm(near, docs, percent)
-    if not large.isEmpty():
-        found = found.union(cluster_links(large.select("bucket", "c", "root"), docs, stages, percent))
-    found = stages.write(found)
-    if not found.isEmpty():
+    at = stages.write(at)
+    open_ = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    rest = stages.write(at.join(stages.write(open_), "bucket").select("c", "root").distinct())
+    found = None if rest.isEmpty() else stages.write(cluster_links(rest, docs, stages, percent))
+    if found is not None and not found.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), stages)
     groups = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))

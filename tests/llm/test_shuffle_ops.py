@@ -79,7 +79,6 @@ def test_op3_large_group_of_near_copies(spark, monkeypatch):
     assert len({r[2] for r in want}) < len(rows) - 30
     assert groups_of(spark, rows) == want
     monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 1500)  # several blocks
-    monkeypatch.setattr(near_dups, "SMALL_BUCKET", 2)
     assert groups_of(spark, rows) == want
 
 
