@@ -6,14 +6,17 @@ so is every other run of tokens with a digit that only blanks and phone punctuat
 and every other token with an @.  A token begins after white space or a label's = or :.
 The words around an instance, whatever they hold, are its lexical patterns (the two words
 before it, the word before, the word after, and both neighbours), and patterns and
-instances form a graph.  Spark scores the graph in turns:
+instances form a graph.  Spark scores the graph in rounds:
 
     pattern  = sum of its different instances' scores / (their number + SMOOTHING)
-    instance = best score of its patterns, seeds staying at 1
 
-Patterns of score CONFIDENT or more that at least SUPPORT different seeds of one kind
-back (its kind) then mark unseen instances, where no base span lies, as spans of kind
-ctx_<kind>.  Counts are over all documents, combined before they are shuffled.
+Base seeds score 1.  A pattern of score CONFIDENT or more that at least SUPPORT different
+seeds of one kind back, and most of its seeds, is of this kind.  The other instances that
+it holds are promoted: they become seeds of its kind with their best pattern's score, and
+all patterns are scored anew, until a round brings no instance and
+no pattern more and their mean score doesn't rise by a hundredth.  Then confident patterns
+mark unseen instances, where no base span lies, as spans of kind ctx_<kind>.  Counts are
+over all documents, combined before they are shuffled.
 
 Offsets count code points, ends are exclusive.  A match's place is the length of what
 `split` leaves before it plus that of earlier matches, so no row leaves the JVM.  The
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import running
 from .storage import Stages
 
 # The base patterns, as the contract gives them.
@@ -48,34 +52,12 @@ FAST = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(BASE)
-ROUNDS = 3
 SMOOTHING = 2.0
 CONFIDENT = 0.6
 SUPPORT = 5
 _TOKEN = r"(?<![^\s=:])[^\s0-9@=:]*+[0-9@]\S*+"
 #: What may part the tokens of one number.
 _JOINT = r"^[\x20\t().-]+$"
-_BLOCK = 512
-_NEAR = 96  # code points around an instance in which its context words are looked for
-
-
-def _running(steps: Column) -> Column:
-    """Running sums of an int array, in blocks, so that long arrays aren't copied at each step."""
-
-    def sums(values: Column, first: Column) -> Column:
-        return F.aggregate(
-            values,
-            F.named_struct(F.lit("at"), first, F.lit("list"), F.array().cast("array<int>")),
-            lambda acc, x: F.named_struct(F.lit("at"), acc["at"] + x, F.lit("list"), F.concat(acc["list"], F.array(acc["at"] + x))),
-            lambda acc: acc["list"],
-        )
-
-    count = F.ceil(F.size(steps) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda b: F.slice(steps, (b - 1) * _BLOCK + 1, F.lit(_BLOCK)))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
-    before = F.zip_with(sums(totals, F.lit(0)), totals, lambda end, n: end - n)
-    return F.flatten(F.zip_with(blocks, before, sums))
-
 
 def _found(text: Column, pattern: str, sign: Column, name: str) -> list[Column]:
     """The pattern's matches and the gaps around them; none without the sign."""
@@ -85,7 +67,7 @@ def _found(text: Column, pattern: str, sign: Column, name: str) -> list[Column]:
 
 def _ends(name: str) -> Column:
     steps = F.zip_with(f"{name}_m", F.slice(f"{name}_g", F.lit(1), F.size(f"{name}_m")), lambda m, g: F.length(m) + F.length(g))
-    return F.when(F.size(f"{name}_m") > 0, _running(steps)).otherwise(F.array().cast("array<int>")).alias(f"{name}_e")
+    return F.when(F.size(f"{name}_m") > 0, running(steps)).otherwise(F.array().cast("array<int>")).alias(f"{name}_e")
 
 
 def _digits(value: Column) -> Column:
@@ -118,15 +100,13 @@ def _tokens() -> Column:
     """array of the tokens with a digit or an @, for `_instances`, with the words around each;
     a token is itself one word of its neighbours' surroundings."""
     token, gap = lambda i: F.coalesce(F.get("token_m", i), F.lit("")), lambda i: F.coalesce(F.get("token_g", i), F.lit(""))
-    last = lambda c: F.right(c, F.lit(_NEAR))
-    first = lambda c: F.left(c, F.lit(_NEAR))
 
     def row(m: Column, i: Column) -> Column:
         end = F.get("token_e", i)
-        left = last(F.concat(last(gap(i - 2)), last(token(i - 2)), last(gap(i - 1)), last(token(i - 1)), last(gap(i))))
-        right = first(F.concat(first(gap(i + 1)), first(token(i + 1))))
+        left = F.concat(gap(i - 2), token(i - 2), gap(i - 1), token(i - 1), gap(i))
+        right = F.concat(gap(i + 1), token(i + 1))
         joins = gap(i).rlike(_JOINT) & ~F.contains(m, F.lit("@")) & ~F.contains(token(i - 1), F.lit("@"))
-        return _part(end, False, end - F.length(m), end, F.lower(m), F.lower(F.regexp_extract(left, r"(\S+)\s*$", 1)), F.lower(F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)), F.lower(F.regexp_extract(right, r"^\s*(\S+)", 1)), joins)
+        return _part(end, False, end - F.length(m), end, F.lower(m), F.lower(F.regexp_extract(left, r"(?<!\S)(\S++)\s*+$", 1)), F.lower(F.regexp_extract(left, r"(?<!\S)(\S++\s++\S++)\s*+$", 1)), F.lower(F.regexp_extract(right, r"^\s*+(\S++)", 1)), joins)
 
     return F.transform("token_m", row)
 
@@ -186,22 +166,38 @@ def _patterns() -> Column:
 
 
 def confident_patterns(edges: DataFrame, stages: Stages) -> DataFrame:
-    """(pattern, kind): edges: (pattern, value, kind), one for each different pair, kind
-    being that of the seed that the instance is, or null."""
+    """(pattern, kind). edges: (pattern, value, kind), one for each different pair, kind being
+    that of the base seed that the instance is, or null.
+
+    Each round scores all patterns from the present seeds; values that a confident pattern
+    holds become seeds themselves, of its kind and with its score, so that the contexts in
+    which they recur can become patterns in the next round.  It ends with a round that brings
+    nothing more; seeds and their scores only ever grow.
+    """
     edges = stages.write(edges)
-    support = stages.write(edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")))
-    seeded = edges.join(support.select("pattern").distinct(), "pattern", "left_semi")
-    scores = seeded.select("pattern", "value", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-    for turn in range(ROUNDS):
-        of_pattern = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("p"))
-        if turn == ROUNDS - 1:
-            break
-        of_pattern = stages.write(of_pattern)  # so that a pattern of very many instances can be split
-        best = scores.join(of_pattern, "pattern").groupBy("value").agg(F.max("p").alias("best"))
-        scores = stages.write(scores.join(best, "value").select("pattern", "value", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("best")).alias("score")))
-    sure = of_pattern.where(F.col("p") >= CONFIDENT).select("pattern")
-    main = support.groupBy("pattern").agg(F.max(F.struct("seeds", F.col("kind").alias("kind"))).alias("m"), F.sum("seeds").alias("all"))
-    return main.where((F.col("m.seeds") >= SUPPORT) & (F.col("m.seeds") * 2 > F.col("all"))).select("pattern", F.col("m.kind").alias("kind")).join(sure, "pattern", "left_semi")
+    # a pattern of fewer values can never have SUPPORT different seeds
+    often = stages.write(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
+    edges = stages.write(edges.join(often, "pattern"))
+    base = stages.write(edges.where("kind is not null").groupBy("value").agg(F.max("kind").alias("seed"), F.lit(1.0).alias("score"), F.lit(0).alias("turn")))
+    promoted, before, turn = base.limit(0), None, 0
+    while True:
+        turn += 1
+        marked = stages.write(edges.select("pattern", "value").join(base.union(promoted), "value", "left"))
+        support = [F.count(F.when(F.col("seed") == k, 1)).alias(k) for k in KINDS]
+        scored = marked.groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + SMOOTHING)).alias("p"), *support)
+        best = F.greatest(*[F.struct(F.col(k).alias("seeds"), F.lit(-i).alias("turn"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)])
+        clear = (F.col("best.seeds") >= SUPPORT) & (F.col("best.seeds") * 2 > sum(map(F.col, KINDS[1:]), F.col(KINDS[0])))
+        sure = stages.write(scored.where(F.col("p") >= CONFIDENT).withColumn("best", best).where(clear).select("pattern", F.col("best.kind").alias("kind"), "p"))
+        held = marked.where("turn is null or turn > 0").join(sure, "pattern").groupBy("value").agg(F.max(F.struct("p", "kind")).alias("m"))
+        held = held.select("value", F.col("m.kind").alias("seed"), F.col("m.p").alias("score"), F.lit(turn).alias("turn"))
+        # a promoted value keeps its first kind; its score only grows
+        grown = promoted.union(held).groupBy("value").agg(F.min(F.struct("turn", "seed")).alias("t"), F.max("score").alias("score"))
+        promoted = stages.write(grown.select("value", "t.seed", "score", "t.turn"))
+        now = *promoted.agg(F.count("*"), F.floor(100 * F.avg("score"))).first(), sure.count()
+        if now == before or not now[0]:
+            return sure.select("pattern", "kind")
+        before = now
+        stages.drop(marked)
 
 
 def _tagged(kind: str) -> Column:
