@@ -28,6 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def other_lane(x: np.ndarray) -> np.ndarray:
+    """A second hash of hashed words, for keys of 128 bits: sums of it are independent of sums
+    of the first."""
+    return mix(x ^ np.uint64(0x8CB92BA72F3D8DD7)) ^ (x >> np.uint64(17))
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     have = _tables.get(base)
