@@ -79,7 +79,7 @@ class LanguageModel:
 
 def fit(rows: DataFrame, per_label: int = 400, most: int = 1600, most_bytes: int = 50_000) -> LanguageModel:
     """rows: (id, text, label)."""
-    return LanguageModel(training_rows(rows, per_label, most, most_bytes))
+    return LanguageModel(training_rows(rows, per_label, most, most_bytes)[0])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -67,24 +67,26 @@ def distinct_slots(text: bytes, orders: range) -> np.ndarray:
     return np.unique(np.concatenate(got)) if got else np.zeros(0, np.int32)
 
 
-def training_rows(rows: DataFrame, per_label: int, most: int, most_bytes: int) -> list[tuple[bytes, object]]:
-    """(text, label) of at most `most` rows: of each label (the `most` commonest ones) the
-    `per_label` with the least hash of their id among texts of at most `most_bytes`.
-    rows: (id, text, label).
+def training_rows(rows: DataFrame, per_label: int, most: int, most_bytes: int) -> tuple[list[tuple[bytes, object]], dict]:
+    """(text, label) of at most `most` rows, and how many rows each label has (with a text):
+    of each label (the `most` commonest ones) the `per_label` ids with the least hash whose
+    texts have at most `most_bytes`. rows: (id, text, label).
 
-    Labels are counted first, and only ids whose hash lies below OVERSAMPLE times the wanted
-    share are ranked, so what is ranked doesn't grow with the table.  Then the texts of the
-    chosen ids, whose number is bounded, are fetched by a broadcast of these ids.
+    One pass counts labels; another ranks ids below a bounded share of hashes, so what is
+    ranked doesn't grow with the table, and brings their texts along.  Of rows that repeat
+    an id and a label only the one of the least text hash counts, so repeated ids can't
+    push others out and any run takes the same rows.
     """
-    fit = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.octet_length("text") <= most_bytes))
-    counts = fit.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()
-    if not counts:
-        return []
-    below = F.create_map(*[F.lit(v) for label, n in counts for v in (label, min(_HASHES, OVERSAMPLE * per_label * _HASHES // n + 1))])
-    hashed = fit.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(_HASHES)).alias("at")).where(F.col("at") < below[F.col("label")])
+    fit = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull())
+    found = fit.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "label").limit(most).collect()
+    if not found:
+        return [], {}
+    counts = {label: n for label, n, _ in found}
+    below = F.create_map(*[F.lit(v) for label, _, ids in found for v in (label, min(_HASHES, OVERSAMPLE * per_label * _HASHES // max(ids, 1) + 1))])
+    short = fit.where(F.octet_length("text") <= most_bytes)
+    hashed = short.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(_HASHES)).alias("at"), F.xxhash64("text").alias("key"), "text").where(F.col("at") < below[F.col("label")])
+    once = hashed.groupBy("label", "at", "id").agg(F.min_by("text", "key").alias("text"))
     order = Window.partitionBy("label").orderBy("at", "id")
-    ranked = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
-    ids = [r[0] for r in ranked.orderBy("rank", "label").limit(most).select("id").collect()]
-    chosen = rows.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], rows.select("id").schema)
-    got = fit.join(F.broadcast(chosen), "id", "left_semi").select("id", "text", "label").limit(2 * most).collect()
-    return [(r[1].encode(), r[2]) for r in sorted(got, key=lambda r: (r[0], str(r[2]), r[1]))]
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    got = ranked.orderBy("rank", "label").limit(most).select("id", "text", "label").collect()
+    return [(r[1].encode(), r[2]) for r in sorted(got, key=lambda r: (r[0], str(r[2])))], counts

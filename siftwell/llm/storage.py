@@ -1,11 +1,16 @@
 """Tables written between stages, in the folder that all executors share.
 
 A written table cuts lineage and survives lost executors.  The folder is the session's
-spark.checkpoint.dir; only where that is unset is one chosen, below the warehouse.
+spark.checkpoint.dir; only a local session may leave it unset and gets one below its
+warehouse.
+
+A run's tables lie in one folder, `siftwell-<number>`.  What a result still reads must stay
+until it was used; `sweep` removes the folders of runs that began before a given age.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    return named.rstrip("/")
 
 
 class Stages:
@@ -35,3 +44,16 @@ class Stages:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Removes the stage folders that nothing was written to for `hours`; how many they were."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("siftwell-") and f.getModificationTime() < time.time() * 1000 - hours * 3_600_000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)

@@ -118,8 +118,8 @@ class ToxicityModel:
 def fit(rows: DataFrame, per_label: int = 2000, most_bytes: int = 50_000) -> ToxicityModel:
     """rows: (id, text, label) with labels 0 and 1; other labels are left out."""
     rows = rows.where("label in (0, 1)")
-    count = dict(rows.groupBy("label").count().collect())
-    return ToxicityModel(training_rows(rows, per_label, 2 * per_label, most_bytes), (count.get(0, 0), count.get(1, 0)))
+    sample, count = training_rows(rows, per_label, 2 * per_label, most_bytes)
+    return ToxicityModel(sample, (count.get(0, 0), count.get(1, 0)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, clean_only: bool = False) -> DataFrame:

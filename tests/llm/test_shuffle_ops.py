@@ -222,6 +222,24 @@ def test_op5_learns_the_labels(spark):
     assert {r.predicted for r in toxicity.score_toxicity(odd, nothing).collect()} == {0}
 
 
+def test_op5_registered_query_catches_held_out_labels(spark, data):
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = Q.op5_toxicity(spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
+    held = [r for r in rows if r.held_out and r.doc_id in toxic]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    bad = [r for r in held if toxic[r.doc_id] == 1]
+    assert sum(r.predicted for r in bad) >= 0.9 * len(bad) and sum(r.predicted for r in held if toxic[r.doc_id] == 0) <= 0.05 * len(held)
+
+
+def test_training_rows_with_a_hot_id(spark):
+    rows = [(7, f"t{i}", "a") for i in range(500)] + [(i + 10, f"u{i}", "a" if i % 2 else "b") for i in range(40)] + [(1, None, "a"), (2, "x", None)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    got, counts = ngrams.training_rows(df.repartition(5), 10, 20, 1000)
+    again, _ = ngrams.training_rows(df.repartition(2), 10, 20, 1000)
+    assert got == again and len(got) == 20 and counts == {"a": 520, "b": 20} and sum(t.startswith(b"t") for t, _ in got) <= 1
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -264,6 +282,24 @@ def test_op6_bootstrap_finds_unseen(spark):
     assert got[100] == "ctx_email:15:27" and got[101] == "" and got[3].startswith("email:")
 
 
+def test_op6_promoted_instances_are_seeds(spark):
+    """Emails teach one context; what it finds recurs in a second one, which finds a thirteenth."""
+    rows = [(i, f"text {i} write me at u{i}@mail.org now please") for i in range(40)]
+    rows += [(100 + i, f"do write me at user-{i}x now please") for i in range(12)]
+    rows += [(200 + i, f"the badge holder user-{i}x opened doors") for i in range(12)]
+    far = "w" * 300
+    rows += [(300, "the badge holder user-77q opened doors"), (301, "a user-88z of none"), (302, f"{far} write me at user-99k now please")]
+    got = {r.doc_id: r.spans for r in pii.span_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "ctx_email:15:22" and got[200] == "ctx_email:17:24" and got[300] == "ctx_email:17:25" and got[301] == "" and got[302] == "ctx_email:313:321"
+
+
+def test_op6_base_spans_of_the_whole_table(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in Q.op6_pii(spark, data).collect():
+        want, spans = brute_spans(texts[r.doc_id])
+        assert tuple(r)[1:6] == want and r.spans.split(",")[: len(spans)] == (spans or [""])[: len(spans)]
+
+
 def test_op6_bootstrap_learns_numbers_of_many_tokens_and_labels(spark):
     rows = [(i, f"in 20{i} call me at +1 (0{i}) 555-77{i} today please") for i in range(10, 30)]
     rows += [(i, f"Card: 4111 {luhn_tail(i)} ok{i}") for i in range(30, 50)]
