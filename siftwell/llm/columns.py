@@ -25,6 +25,17 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import append_columns, text_bytes
+from .columns import append_columns, column, sliced, text_bytes
 
 UNIT = 192
 RATE = 8000
@@ -194,10 +194,9 @@ def store_texts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 def sniff_media(blobs: DataFrame, blob_col: str, declared_col: str, keep: list[str] | None = None) -> DataFrame:
     """`keep` (default: all columns) with media_type (the declared type, corrected) and
     embedded: array<struct<kind, start, length>>.  Null blobs keep their declared type."""
-    from pyspark.sql import functions as F
-
-    names = [c for c in (blobs.columns if keep is None else keep) if c not in ("media_type", "embedded")]
-    source = blobs.select(*names, F.col(f"`{declared_col}`").alias("__declared"), F.col(f"`{blob_col}`").cast("binary").alias("__blob"))
+    names = [c for c in (blobs.columns if keep is None else keep) if c.lower() not in ("media_type", "embedded")]
+    places = [column(c).alias(f"c{i}") for i, c in enumerate(names)]  # places stand for names until the end
+    source = blobs.select(*places, column(declared_col).cast("string").alias("declared"), column(blob_col).cast("binary").alias("blob"))
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     out = T.StructType([*source.schema.fields[:-2], T.StructField("media_type", T.StringType()), T.StructField("embedded", T.ArrayType(item))])
 
@@ -207,8 +206,9 @@ def sniff_media(blobs: DataFrame, blob_col: str, declared_col: str, keep: list[s
 
         finder = automaton()
         for batch in batches:
-            found = [sniff(b or b"", d, finder) for b, d in zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            inner = [[{"kind": m.kind, "start": m.start, "length": m.length} for m in x[2]] for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([x[0] for x in found], pa.string()), pa.array(inner, to_arrow_type(T.ArrayType(item)))], names=out.names)
+            for part in sliced(batch, len(names) + 1):  # so many bytes of blobs at once, or one larger blob
+                found = [sniff(b or b"", d, finder) for b, d in zip(part.column(len(names) + 1).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                inner = [[{"kind": m.kind, "start": m.start, "length": m.length} for m in x[2]] for x in found]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([x[0] for x in found], pa.string()), pa.array(inner, to_arrow_type(T.ArrayType(item)))], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out).toDF(*names, "media_type", "embedded")

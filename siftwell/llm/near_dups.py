@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .columns import append_columns, flat, sliced
+from .columns import append_columns, column, flat, free_names, sliced
 from .components import components
 from .storage import Stages
 from .wordhash import chunks, mix, run_hashes, word_hashes
@@ -375,10 +375,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = group_near_duplicates(docs, id_col, text_col, percent, True)
     kept = groups.where("kept and doc_id is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
     least = kept.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("k")).select("k.*")
-    kept = least.union(kept.where("root is null").select("doc_id", "text_key", "rows")).select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"), F.col("rows").alias("__rows"))
-    same = (F.col(f"`{id_col}`") == F.col("__kept_id")) & F.xxhash64(F.col(f"`{text_col}`").cast("string")).eqNullSafe(F.col("__kept_key"))
-    out = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, same)
-    one = F.row_number().over(Window.partitionBy("__kept_id", "__kept_key").orderBy("__rows"))
-    once, again = out.where("__rows = 1"), out.where("__rows > 1").withColumn("__at", one).where("__at = 1")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return once.select(names).union(again.select(names)).union(docs.where(F.col(f"`{id_col}`").isNull()).select(names))
+    kid, kkey, krows, place = free_names(docs, "__kept_id", "__kept_key", "__rows", "__at")
+    kept = least.union(kept.where("root is null").select("doc_id", "text_key", "rows")).toDF(kid, kkey, krows)
+    same = (column(id_col) == F.col(kid)) & F.xxhash64(column(text_col).cast("string")).eqNullSafe(F.col(kkey))
+    out = docs.where(column(id_col).isNotNull()).join(kept, same)
+    one = F.row_number().over(Window.partitionBy(kid, kkey).orderBy(krows))
+    once, again = out.where(F.col(krows) == 1), out.where(F.col(krows) > 1).withColumn(place, one).where(F.col(place) == 1)
+    names = [column(c) for c in docs.columns]
+    return once.select(names).union(again.select(names)).union(docs.where(column(id_col).isNull()).select(names))

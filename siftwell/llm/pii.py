@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import running
+from .columns import column, free_names
 from .storage import Stages
 
 # The base patterns, as the contract gives them.
@@ -241,12 +242,11 @@ def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span in `text_col` replaced by [KIND]; spans that overlap become one,
     of the kind that starts first.  All columns and rows stay; null texts stay null."""
-    if "__pii_spans" in docs.columns:
-        raise ValueError("a column is named __pii_spans")
+    fid, fkey, fspans = free_names(docs, "__pii_id", "__pii_key", "__pii_spans")
     found = find_personal_data(docs, id_col, text_col).dropDuplicates(["doc_id", "text_key"])
-    every = found.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), F.array_sort(F.concat(*map(_tagged, KINDS), F.col("extra"))).alias("__pii_spans")).where("size(__pii_spans) > 0")
-    text = F.col(f"`{text_col}`")
-    marked = docs.join(every, F.col(f"`{id_col}`").eqNullSafe(F.col("__pii_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("__pii_key")), "left")
+    every = found.select(F.col("doc_id").alias(fid), F.col("text_key").alias(fkey), F.array_sort(F.concat(*map(_tagged, KINDS), F.col("extra"))).alias(fspans)).where(F.size(fspans) > 0)
+    text = column(text_col)
+    marked = docs.join(every, column(id_col).eqNullSafe(F.col(fid)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(fkey)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -254,5 +254,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         grown = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), label)
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), grown.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate("__pii_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return marked.select(*[F.when(F.col("__pii_spans").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(fspans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return marked.select(*[F.when(F.col(fspans).isNull(), text).otherwise(clean).alias(text_col) if c == text_col else column(c) for c in docs.columns])

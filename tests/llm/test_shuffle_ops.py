@@ -191,6 +191,25 @@ def test_op4_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in language.identify_languages(docs, none).collect()} == {("und", 0.0)}
 
 
+def test_op4_kernel_against_brute_force():
+    rng = random.Random(4)
+    texts = ["", "a", "Zoë 😀 abc", "Привет мир", "你好世界 abc"] + ["".join(rng.choice("abcdé 語Q") for _ in range(rng.randrange(1, 90))) for _ in range(40)]
+
+    def grams(t):
+        t = low(t)
+        return {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    model = language.LanguageModel([(t.encode(), "xy"[i % 2]) for i, t in enumerate(texts)], landmarks=12)
+    marks = [texts[i] for i in model._in_turn([(t.encode(), "xy"[i % 2]) for i, t in enumerate(texts)])[:12]]
+    want = [[len(grams(t) & grams(m)) / max(1, len(grams(t))) ** 0.5 / max(1, len(grams(m))) ** 0.5 for m in marks] for t in texts]
+    for dense in (language.DENSE, 5):
+        language.DENSE, before = dense, language.DENSE
+        model = language.LanguageModel([(t.encode(), "xy"[i % 2]) for i, t in enumerate(texts)], landmarks=12)
+        got = model.kernel(*model._flat([t.encode() for t in texts]))
+        language.DENSE = before
+        assert np.allclose(got, want, atol=1e-6)
+
+
 def test_ngrams_against_brute_force():
     texts = [b"Abcab", b"", b"x", b"hello world, hello"]
     body, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
@@ -321,6 +340,15 @@ def test_op6_redacts(spark):
     assert got == sorted([(1, "to [EMAIL] or [PHONE]!", "k"), (2, None, "k"), (3, "clean", "k"), (3, "clean", "k"), (None, "ip [IP]", "k")], key=str)
 
 
+def test_names_that_clash_with_helpers(spark):
+    names = "`doc_id` long, text string, __rows int, __AT int, __kept_id int, __kept_key int, __pii_id int, __pii_key int, __pii_spans int, `a.b` int"
+    docs = spark.createDataFrame([(1, "mail a@b.cd or so now", 1, 2, 3, 4, 5, 6, 7, 8), (2, "mail a@b.cd or so now", 1, 2, 3, 4, 5, 6, 7, 8)], names)
+    assert [tuple(r) for r in near_dups.drop_near_duplicates(docs).collect()] == [(1, "mail a@b.cd or so now", 1, 2, 3, 4, 5, 6, 7, 8)]
+    assert sorted(tuple(r)[:2] for r in pii.redact(docs).collect()) == [(1, "mail [EMAIL] or so now"), (2, "mail [EMAIL] or so now")]
+    none = docs.limit(0)
+    assert pii.redact(none).count() == near_dups.drop_near_duplicates(none).count() == 0
+
+
 def test_op6_stays_in_the_jvm(spark, data):
     plan = Q.op6_pii(spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
