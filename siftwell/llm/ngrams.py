@@ -73,9 +73,10 @@ def training_rows(rows: DataFrame, per_label: int, most: int, most_bytes: int) -
     texts have at most `most_bytes`. rows: (id, text, label).
 
     One pass counts labels; another ranks ids below a bounded share of hashes, so what is
-    ranked doesn't grow with the table, and brings their texts along.  Of rows that repeat
-    an id and a label only the one of the least text hash counts, so repeated ids can't
-    push others out and any run takes the same rows.
+    ranked doesn't grow with the table; both leave the texts where they are.  Then the texts
+    of the chosen ids, whose number is bounded, are fetched by a broadcast of these ids.  Of
+    rows that repeat an id and a label only the one of the least text hash counts, so
+    repeated ids can't push others out and any run takes the same rows.
     """
     fit = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull())
     found = fit.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "label").limit(most).collect()
@@ -84,9 +85,11 @@ def training_rows(rows: DataFrame, per_label: int, most: int, most_bytes: int) -
     counts = {label: n for label, n, _ in found}
     below = F.create_map(*[F.lit(v) for label, _, ids in found for v in (label, min(_HASHES, OVERSAMPLE * per_label * _HASHES // max(ids, 1) + 1))])
     short = fit.where(F.octet_length("text") <= most_bytes)
-    hashed = short.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(_HASHES)).alias("at"), F.xxhash64("text").alias("key"), "text").where(F.col("at") < below[F.col("label")])
-    once = hashed.groupBy("label", "at", "id").agg(F.min_by("text", "key").alias("text"))
+    hashed = short.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(_HASHES)).alias("at")).where(F.col("at") < below[F.col("label")]).distinct()
     order = Window.partitionBy("label").orderBy("at", "id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
-    got = ranked.orderBy("rank", "label").limit(most).select("id", "text", "label").collect()
+    ranked = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    chosen = {(r[0], r[1]) for r in ranked.orderBy("rank", "label").limit(most).select("id", "label").collect()}
+    ids = rows.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _ in chosen})], rows.select("id").schema)
+    texts = short.join(F.broadcast(ids), "id", "left_semi").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = [(r.id, r.text, r.label) for r in texts.collect() if (r.id, r.label) in chosen]
     return [(r[1].encode(), r[2]) for r in sorted(got, key=lambda r: (r[0], str(r[2])))], counts
