@@ -7,15 +7,19 @@ bounded size, and the output columns replace input columns of the same name.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows of an Arrow batch at most: batches of whole texts are held several times over.
+BATCH_ROWS = 2000
 #: Bytes of text that a kernel sees at once; a single longer text comes alone.
 SLICE_BYTES = 4 << 20
 
@@ -61,6 +65,21 @@ def sliced(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless the application was
+    started with a number of its own (see README)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name) and not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives memory that a task's arrays held back to the system: idle workers keep little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel: Callable[[], Callable], keep: Sequence[str] | None = None, where: Callable | None = None, only_filter: bool = False) -> DataFrame:
     """`keep` (default: all columns) plus `added`, computed from `text_col`.
 
@@ -79,6 +98,7 @@ def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel:
         at, source = len(names), docs.select(*kept, column(text_col).cast("string").alias(f"c{len(names)}"))
     fields = [] if only_filter else [T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added.fields)]
     out = T.StructType([*source.schema.fields[: len(names)], *fields])
+    small_batches(docs.sparkSession)
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches):
@@ -88,5 +108,7 @@ def append_columns(docs: DataFrame, text_col: str, added: T.StructType, kernel:
                 made = [pa.array(x, kind) for x, kind in zip(compute(part.column(at)), kinds, strict=True)]
                 rows = pa.RecordBatch.from_arrays([*part.columns[: len(names)], *([] if only_filter else made)], names=out.names)
                 yield rows if where is None else rows.filter(pa.array(where(made)))
+        del compute
+        release()
 
     return source.mapInArrow(run, out).toDF(*names, *([] if only_filter else added.names))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import flat, sliced, text_bytes
+from .columns import flat, release, sliced, small_batches, text_bytes
 from .storage import Stages
 from .wordhash import _RUN, _sums, chunks, mix, other_lane, run_hashes, word_hashes
 
@@ -94,6 +94,7 @@ def _occurrences(window: int, k: int):
                     text, first, n, edge, context, other = edges_of(words, counts, window, k)
                     if len(text):
                         yield _batch([ids[a:b][text], keys[a:b][text], _signed(edge), _signed(context), _signed(other), first, n], _OCCURRENCES)
+        release()
 
     return run
 
@@ -204,6 +205,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256; with_text adds
     kept_text, the kept words joined by single spaces."""
     stages = Stages(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     spans = repeated_spans(docs, stages, window, k)
     joined = docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "spans", "text")
