@@ -20,7 +20,7 @@ def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     """rows: (doc_id, text) -> sorted (doc_id, n_shingles, component_id, kept)."""
     def shingles(text):
         w = re.findall(SPACE, low(text))
@@ -38,7 +38,7 @@ def brute_groups(rows):
     for x, i in enumerate(known):
         for j in known[:x]:
             n = len(sets[i] & sets[j])
-            if n and 100 * n >= 85 * len(sets[i] | sets[j]):
+            if n and 100 * n >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for k in known:
@@ -366,7 +366,7 @@ def test_pipeline(spark, data, tmp_path):
             assert out.columns == columns and out.count() <= before
         if name == "near_dedup":
             kept = [(r.doc_id, r.text) for r in out.collect()]
-            want = [r[0] for r in brute_groups([(r.doc_id, r.text) for r in docs.collect()]) if r[3]]
+            want = [r[0] for r in brute_groups([(r.doc_id, r.text) for r in docs.collect()], 80) if r[3]]
             assert sorted(k for k, _ in kept) == sorted(want)
         if name == "pii":
             assert all(not brute_spans(r.text)[0][0] and r.n_chars == len(r.text) for r in out.collect())
