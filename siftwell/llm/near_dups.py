@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .columns import append_columns, column, flat, free_names, sliced
+from .columns import append_columns, column, flat, free_names, releasing, sliced
 from .components import components
 from .storage import Stages
 from .wordhash import chunks, mix, run_hashes, word_hashes
@@ -182,7 +182,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])).distinct()
+    return dealt.mapInArrow(releasing(run), T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])).distinct()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]):
@@ -204,7 +204,7 @@ def unpeeled(members: DataFrame, docs: DataFrame, stages: Stages, percent: int)
     it is peeled off if these are less than percent of n; then the rest is counted anew.  A
     member left in only costs time.
     """
-    rows = stages.write(members.join(docs, "doc_id").select("class", "text").mapInArrow(_set_rows, "class binary, shingles array<long>"))
+    rows = stages.write(members.join(docs, "doc_id").select("class", "text").mapInArrow(releasing(_set_rows), "class binary, shingles array<long>"))
     for _ in range(PEELINGS):
         alone = rows.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
         far = alone.groupBy("class").agg(F.count("*").alias("u")).join(rows.select("class", F.size("shingles").alias("n")), "class").where((F.col("n") - F.col("u")) * 100 < F.col("n") * percent)
@@ -331,7 +331,7 @@ def cluster_links(open_: DataFrame, docs: DataFrame, stages: Stages, percent: in
                 sets.append(values[at[k] : at[k + 1]].copy())
         yield from links()
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(releasing(run), "a binary, b binary")
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, with_text_key: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _BASE, _RUN = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes hashed at once, so that the arrays stay small; one longer text comes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
